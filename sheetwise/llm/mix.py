@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut, uniform
 
 #: Buckets of the ranking value in each source. Only the bucket that the target falls into is sorted.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mix, warc
+from . import chat, jaccard, mix, packing, pii, quality, vectors, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +80,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                  (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
           FROM sized s JOIN part g ON s.source IS NOT DISTINCT FROM g.source),
         odds AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked),
-        placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY floor(q / (1 + q) * 65536), q, doc_id, size
+        placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY floor(q / (1 + q) * 4096), q, doc_id, size
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM odds WHERE q IS NOT NULL
                    UNION ALL SELECT *, NULL FROM odds WHERE q IS NULL)
         SELECT doc_id, size, source_size, target,
@@ -106,3 +106,38 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark)
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
+@register("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document text: the patterns' spans and those the field adds."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+@register("op10_quality")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document text scored for quality by the compression classifier."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@register("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces, packed."""
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op3_vector_near_dup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings of equal label."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_shingle_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked by the similarity of their five-word shingles."""
+    return jaccard.similar(table(spark, sf_dir, "documents"))
