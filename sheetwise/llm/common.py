@@ -118,3 +118,25 @@ def uniform(*parts: Column | str, seed: str = "") -> Column:
     """
     text = F.concat_ws(":", F.lit(seed), *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("null")) for p in parts))
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, where rows of one key, neighbours in a sorted partition, are never parted. For keys with few rows each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key)
+        last = keys[-1]
+        if keys[0] == last:
+            if held and held[0].column(key)[-1] != last:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+            held.append(batch)
+            continue
+        values = keys.to_numpy(zero_copy_only=False)
+        at = int(np.flatnonzero(values != values[-1])[-1]) + 1
+        yield from pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks().to_batches()
+        held = [batch.slice(at)]
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

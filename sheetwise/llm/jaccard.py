@@ -110,13 +110,38 @@ def class_of(own: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def bitmap(own: np.ndarray) -> list[int]:
+    """A parity bit for each residue of the hashes, two to four bits a shingle, as 64-bit words.
+
+    Two sets differ in as many shingles as their bitmaps in bits, at least. A bitmap of twice the length
+    folds to the shorter one.
+    """
+    bits = 64
+    while bits < 2 * len(own):
+        bits *= 2
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _may_link() -> str:
+    """SQL: sizes n_a and n_b fit, and bitmaps m_a and m_b do not differ in more shingles than a link allows."""
+    fold = "zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (x, y) -> x ^ y)"
+    a = f"IF(size(m_a) = 2 * size(m_b), {fold.format('m_a', 'm_b')}, m_a)"
+    b = f"IF(size(m_b) = 2 * size(m_a), {fold.format('m_b', 'm_a')}, m_b)"
+    apart = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return f"{_FIT} AND {apart} <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
+
+
+_FIT = f"{NUM} * greatest(n_a, n_b) <= {DEN} * least(n_a, n_b)"
+
+
 def _survey(docs: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, cid, mark, n), and each task's counters of the frequency sketch."""
+    """A row for each document (doc_id, cid, mark, n, map), and each task's counters of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
-        schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("cid", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("map", pa.list_(pa.int64())), ("block", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(part.column("text"))
@@ -126,7 +151,7 @@ def _survey(docs: DataFrame) -> DataFrame:
                     seen[slots.astype(np.int64)] += times.astype(np.uint32)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([c for c, _ in ids], pa.int64()), pa.array([m for _, m in ids], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                    [part.column("doc_id"), pa.array([c for c, _ in ids], pa.int64()), pa.array([m for _, m in ids], pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bitmap, sets)), pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                     schema=schema,
                 )
         blocks = seen.reshape(-1, SKETCH_BLOCK)
@@ -134,9 +159,9 @@ def _survey(docs: DataFrame) -> DataFrame:
         z = zstandard.ZstdCompressor(level=1)
         k = len(some)
         none = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(some, pa.int32()), pa.array([z.compress(blocks[i].tobytes()) for i in some], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array([z.compress(blocks[i].tobytes()) for i in some], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, mark long, n long, block int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cid long, mark long, n long, map array<long>, block int, counts binary")
 
 
 def _frequency_classes(surveyed: DataFrame) -> bytes:
@@ -192,9 +217,8 @@ def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
                 key = np.concatenate(keys)
                 cid = np.repeat(np.array([c for c, _ in cids], np.int64), [k for _, k in cids])
                 up = np.maximum(level[(key >> shift).astype(np.int64)].astype(np.int64) - HOT, 0)
-                turn = mix(cid.view(np.uint64) * np.uint64(3) ^ key)
-                salt = np.where(up > 0, (turn % (np.uint64(1) << up.astype(np.uint64))).astype(np.int64), -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(turn.view(np.int64)), pa.array(cid)], ["shingle", "salt", "turn", "cid"])
+                salt = np.where(up > 0, (mix(cid.view(np.uint64)) % (np.uint64(1) << up.astype(np.uint64))).astype(np.int64), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(cid)], ["shingle", "salt", "cid"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # of the list that may go on: shingle, salt, pivot, whether the pivot is out, the last member
@@ -222,8 +246,8 @@ def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
             held = (key[-1], salt[-1], pivot[-1], bool(out[begin[-1]] or size[-1] > 1 or salt[-1] >= 0), last[2])
             yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(cid[show]), pa.array(pivot[show])], ["shingle", "cid", "pivot"])
 
-    rows = docs.select("text").where("text IS NOT NULL").mapInArrow(emit, "shingle long, salt int, turn long, cid long")
-    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "turn", "cid").drop("turn").mapInArrow(lists, "shingle long, cid long, pivot long")
+    rows = docs.select("text").where("text IS NOT NULL").mapInArrow(emit, "shingle long, salt int, cid long")
+    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", F.xxhash64("shingle", "cid"), "cid").mapInArrow(lists, "shingle long, cid long, pivot long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
@@ -310,7 +334,7 @@ def similar(docs: DataFrame) -> DataFrame:
     in, which joins groups of near copies; then, in lists whose members are not yet in one component,
     all members of different components are compared. A pair inside a component needs no comparison, so
     a group of near copies costs as many comparisons as it has members, and no link between
-    components is missed. Null and empty texts have no shingles and link with nothing; rows with a repeated doc_id share
+    components is missed. Parity bitmaps rule out, without loss, most pairs that share a passage only. Null and empty texts have no shingles and link with nothing; rows with a repeated doc_id share
     a result if their sets are linked. Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
@@ -318,19 +342,20 @@ def similar(docs: DataFrame) -> DataFrame:
     owned = surveyed.where("block IS NULL")
     classes = _frequency_classes(surveyed)
     lists = cut(_short_lists(docs, classes))
-    sizes = owned.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), (F.min("mark") != F.max("mark")).alias("clash"))
+    sizes = owned.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.first("map").alias("map"), (F.min("mark") != F.max("mark")).alias("clash"))
+    sizes = cut(sizes.join(lists.select("cid").distinct(), "cid", "left_semi"))
     if sizes.where("clash").limit(1).count():
         raise RuntimeError("two different shingle sets share a 64-bit id")
-    sizes = cut(sizes.drop("clash").join(lists.select("cid").distinct(), "cid", "left_semi"))
     bodies = cut(_bodies(docs, sizes.select("cid")))
-    fit = F.expr(f"{NUM} * greatest(n_a, n_b) <= {DEN} * least(n_a, n_b)")
-    n_a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"))
-    n_b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"))
+    of_a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("map").alias("m_a"))
+    of_b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("map").alias("m_b"))
+    may_link = F.expr(_may_link())
 
     seen = lists.where("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("times"))
-    seen = seen.join(n_a, "a").join(n_b, "b").where(fit)
     best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    first = cut(seen.withColumn("r", F.row_number().over(best)).where(f"r <= {PIVOTS}").select("a", "b"))
+    some = seen.withColumn("r", F.row_number().over(best)).where(f"r <= {3 * PIVOTS}").drop("r")
+    some = some.join(of_a, "a").join(of_b, "b").where(may_link)
+    first = cut(some.withColumn("r", F.row_number().over(best)).where(f"r <= {PIVOTS}").select("a", "b"))
     links = cut(_check(first, bodies))
     parts = cut(components(links))
 
@@ -339,9 +364,9 @@ def similar(docs: DataFrame) -> DataFrame:
     open_lists = cut(comp.join(mixed, "shingle").join(sizes.select("cid", "n"), "cid"))
     x = open_lists.select("shingle", F.col("cid").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"))
     y = open_lists.select("shingle", F.col("cid").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"))
-    more = x.join(y, "shingle").where((F.col("c_a") < F.col("c_b")) & fit).select("a", "b").distinct()
+    more = x.join(y, "shingle").where((F.col("c_a") < F.col("c_b")) & F.expr(_FIT)).select("a", "b").distinct()
     tried = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut(more.join(tried, ["a", "b"], "left_anti"))
+    more = cut(more.join(tried, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").where(may_link).select("a", "b"))
     links2 = cut(_check(more, bodies))
     drop(bodies, open_lists, lists)
     whole = components(links.union(links2))

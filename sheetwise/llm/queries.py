@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mix, packing, pii, quality, vectors, warc
+from . import chat, jaccard, mix, neighbours, packing, pii, quality, shards, vectors, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents linked by the similarity of their five-word shingles."""
     return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
+@register("op7_nearest")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth embedding among all others."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register("op4_shard_compaction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as small arriving shards, compacted; a row for each document with its shard in the final manifest."""
+    _, rows = shards.shard(table(spark, sf_dir, "documents"), shared_dir(spark))
+    text = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return rows.select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"), F.col("_version").alias("version"), text)

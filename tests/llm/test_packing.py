@@ -1,0 +1,83 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from sheetwise.llm import packing
+from sheetwise.llm.queries import QUERIES
+
+
+def reference(lib, text):
+    return lib.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.text(alphabet="abStrvelmd ''  \n\t\r09é.,-_ \u0085\x1c²½ªß日🤦<|>", max_size=40), min_size=1, max_size=5))
+def test_ids_are_the_librarys(tokenizer_path, texts):
+    bpe = packing.tokenizer(tokenizer_path)
+    ids, counts = bpe.encode(pa.array([*texts, None, "<|endoftext|> it's they'll 've"]))
+    want = [reference(bpe.library, t) for t in [*texts, "", "<|endoftext|> it's they'll 've"]]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+
+
+def test_slices_of_arrays(tokenizer_path):
+    bpe = packing.tokenizer(tokenizer_path)
+    array = pa.array(["one", "two three", None, "four"])[1:]
+    ids, counts = bpe.encode(array)
+    assert counts.tolist() == [len(reference(bpe.library, t)) for t in ("two three", "", "four")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
+def test_plan_places_everything_once(counts):
+    seen = dict.fromkeys(counts, 0)
+    for inside, k in packing.plan(counts, 64):
+        assert k > 0 and sum(inside) <= 64
+        assert sum(s > 64 // 3 for s in inside) <= 2
+        for s in inside:
+            seen[s] += k
+    assert seen == counts
+    bins, total = sum(k for _, k in packing.plan(counts, 64)), sum(s * k for s, k in counts.items())
+    assert bins <= max(sum(k for s, k in counts.items() if s > 32), -(-total // 64)) * 1.5 + 1
+
+
+def check(rows, texts, lib, capacity=1024):
+    by_doc, at = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        at.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(texts)
+    for doc, own in by_doc.items():
+        ids = np.array([*reference(lib, texts[doc]), 2], "<u4")
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own)))
+        assert sum(r.length for r in own) == len(ids) and all(r.length == capacity for r in own[1:])
+        for r in own:
+            assert zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    for own in at.values():
+        end = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == end
+            end += r.length
+        assert end <= capacity
+    total = sum(r.length for r in rows)
+    return len(at), -(-total // capacity)
+
+
+def test_documents(spark, sf, tokenizer_path):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    n, least = check(QUERIES["op2_best_fit_packing"](spark, sf).collect(), texts, Tokenizer.from_file(tokenizer_path))
+    assert n <= least * 1.03 + 1
+
+
+def test_edges(spark, tokenizer_path):
+    texts = {1: None, 2: "", 3: "word " * 5000, 4: "a" * 3000, 5: "tiny"}
+    df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc_id long, text string, piece int")
+    check(packing.pack(df, tokenizer_path).collect(), texts, Tokenizer.from_file(tokenizer_path))
+    twice = packing.pack(df.union(df), tokenizer_path).collect()
+    assert len({(r.sequence_id, r.offset) for r in twice}) == len(twice)
+    assert packing.pack(df.where("false"), tokenizer_path).collect() == []

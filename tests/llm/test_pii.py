@@ -1,0 +1,98 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sheetwise.llm import pii
+from sheetwise.llm.queries import QUERIES
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    out = []
+    for k, p in PATTERNS.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if k == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if k == "card" and not (13 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0):
+                continue
+            if k == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return [f"{k}:{a}:{b}" for k, a, b in out]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="aZ@.%+-_ 0123456789()é\n", max_size=60))
+def test_base_spans_are_the_patterns(text):
+    assert pii.written(pii.base_spans(text)) == ",".join(plain(text))
+
+
+@pytest.mark.parametrize("text", ["4111 1111-1111 1111", "1.2.3.4.5.6.7.8.9", "999.1.1.1.2.3.4", "a@b.c_d@e.f@g.h", "+1 (649) 555-1648.", "+49" + "-" * 50])
+def test_cases(text):
+    assert pii.written(pii.base_spans(text)) == ",".join(plain(text))
+
+
+def test_long_runs_stay_linear():
+    pii.base_spans("a" * 300_000 + "@" + "1" * 300_000 + "." + "+1" + "(" * 300_000)
+
+
+def test_documents(spark, sf):
+    got = QUERIES["op9_pii"](spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(got) == len(texts)
+    for r in got:
+        want = plain(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w.startswith(k) for w in want) for k in PATTERNS]
+        assert set(want) <= set(r.spans.split(",")) | {""}
+
+
+def corpus():
+    return [f"call +1 ({100 + i}) 555-{1000 + i} or mail u{i}x@mail{i % 5}.example.com at 10.0.{i % 200}.7 card 4111111111111111 on page {i} version {i % 9}.0 again +1 ({100 + i}) 555-{1000 + i}" for i in range(60)]
+
+
+def test_repeats_take_the_label_of_their_base_span():
+    field = pii.train(corpus())
+    text = "write to anna77@mail.example.com today.\n" + "plain words here. " * 20 + "her other note names anna77@mail again, anna77@mailexamplecom too; and chapter 12 of 2020."
+    base = pii.base_spans(text)
+    more = pii.added_spans([text], [base], field)[0]
+    at = text.index("anna77@mailexamplecom")
+    assert (0, at, at + len("anna77@mailexamplecom")) in more
+    assert not any(text[a:b] in ("12", "2020") for _, a, b in more)
+
+
+def test_messages_agree_with_enumeration():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    field = pii.Field(rng.normal(size=(pii.FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    g = pii.Graph(rng.normal(size=(3, pii.FEATURES)), np.array([-1, 2, -1]), np.array([[0, 1]]), np.array([[1, 2]]), [], np.zeros(3))
+    score = {}
+    for y in itertools.product(range(5), repeat=3):
+        if y[1] == 2:
+            score[y] = np.exp(sum(g.x[i] @ field.unary[:, y[i]] for i in (0, 2)) + field.chain[y[0], y[1]] + field.skip[y[1], y[2]])
+    want = np.array([[sum(v for y, v in score.items() if y[i] == k) for k in range(5)] for i in range(3)]) / sum(score.values())
+    assert np.allclose(field.marginals(g), want, atol=1e-3)
+
+
+def test_edges(spark):
+    rows = [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "x " * 50_000 + "+1 234 567 8901")]
+    df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, spans string")
+    field = pii.fit(df)
+    got = pii.find(df, field).collect()
+    assert sorted((r.doc_id or 0, r.n_email, r.n_phone) for r in got) == [(0, 0, 1), (1, 0, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0)]
+    red = {r.doc_id: r.text for r in pii.find(df, field, keep=("doc_id", "text"), redact=True).collect()}
+    assert red[3] == "[EMAIL]" and red[1] is None and red[None].endswith("[PHONE]")
+    assert pii.find(df.where("false"), field).collect() == []

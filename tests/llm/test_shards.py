@@ -1,0 +1,52 @@
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from sheetwise.llm import shards
+from sheetwise.llm.common import shared_dir
+
+
+def docs(spark, n=400):
+    return spark.createDataFrame([(i, None if i % 7 == 0 else f"text {i} " * (i % 50), "clash") for i in range(n)], "doc_id long, text string, _shard string")
+
+
+def test_rows_survive_and_files_shrink(spark):
+    df = docs(spark).repartition(6)
+    store, rows = shards.shard(df, shared_dir(spark), target=1 << 20, rows=10)
+    assert sorted((r.doc_id, r.text) for r in rows.collect()) == sorted((r.doc_id, r.text) for r in df.collect())
+    assert len(store.shards()) < 10 and store.versions() == [max(store.versions())]
+
+
+def test_versions_are_snapshots(spark):
+    store = shards.ShardStore(spark, shared_dir(spark))
+    store.append(docs(spark, 30).drop("_shard"), rows=5)
+    store.append(docs(spark, 50).drop("_shard"), rows=5)
+    assert store.versions() == [1, 2] and store.read(1).count() == 30 and store.read().count() == 80
+    assert store.compact(target=1 << 20) == 3
+    assert store.read(2).count() == store.read(3).count() == 80 and len(store.shards(3)) < len(store.shards(2))
+    store.expire()
+    assert store.versions() == [3] and store.read().count() == 80
+
+
+def test_two_writers(spark):
+    path = shared_dir(spark)
+    a, b = shards.ShardStore(spark, path), shards.ShardStore(spark, path)
+    a.append(docs(spark, 5).drop("_shard"))
+    with pytest.raises(shards.Conflict):
+        b.commit([], 0)
+    assert b.read().count() == 5
+
+
+@given(st.lists(st.integers(0, 2000), max_size=30))
+def test_merge_groups(sizes):
+    own = [shards.Shard(str(i), s, 1) for i, s in enumerate(sizes)]
+    chosen = shards.merge_groups(own, 1000)
+    assert all(shards.tier(s.bytes, 1000) > 0 for s in chosen) and len(chosen) != 1
+    left = [s for s in own if s not in chosen and shards.tier(s.bytes, 1000)]
+    for t in {shards.tier(s.bytes, 1000) for s in left}:
+        assert sum(shards.tier(s.bytes, 1000) == t for s in left) < shards.FANOUT
+
+
+def test_empty(spark):
+    _, rows = shards.shard(docs(spark).where("false"), shared_dir(spark))
+    assert rows.collect() == []
