@@ -1,29 +1,16 @@
-"""Registry of the engine's own queries and their DuckDB oracles."""
+"""The engine's own queries and their DuckDB oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetwise.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Adds a query under its name, with the SQL that must give the same rows."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
+from . import relational, spatial  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES, register
 
-    return add
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @register(
