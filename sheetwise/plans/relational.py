@@ -99,7 +99,7 @@ declare(
     f"SELECT (SELECT count(*) FROM ({_A} EXCEPT {_B})) AS left_only, (SELECT count(*) FROM ({_B} EXCEPT {_A})) AS right_only",
 )
 declare("set_union", f"{_A} UNION {_B}")
-declare("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+declare("set_except", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P'")
 declare(
     "set_census",
     """SELECT k, side FROM (

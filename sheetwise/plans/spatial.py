@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import numbers, text
-from sheetwise.operators import bands, closure, numbering, overlap
+from sheetwise.operators import bands, closure, numbering, overlap, units
 from sheetwise.session import table
 
 from .registry import declare, register
@@ -129,9 +129,7 @@ def pairwise_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT event_id, 'horizontal', (y0 + y1) / 2, least(x0, x1), greatest(x0, x1) FROM ({_SEGMENTS}) WHERE abs(x1 - x0) > 0 AND abs(y1 - y0) <= 0.01::DOUBLE * abs(x1 - x0)""",
 )
 def segment_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sheetwise.operators.units import straight
-
-    return straight(_segments(spark, sf_dir), ["event_id"])
+    return units.straight(_segments(spark, sf_dir), ["event_id"])
 
 
 # ---- folds, recursion, numbering ----
@@ -254,3 +252,17 @@ def ulp_tolerant_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = F.expr("CASE WHEN l_orderkey % 5 = 0 THEN 1e-9D WHEN l_orderkey % 3 = 0 THEN 1e-16D ELSE 0 END")
     a, b = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 + shift)
     return table(spark, sf_dir, "lineitem").where(~numbers.same_number(a, b)).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+
+
+@register("greedy_chain")
+def greedy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of events read as fragments: a user is a block, the value a baseline and the time of day a position."""
+    e = table(spark, sf_dir, "events")
+    x = (F.unix_micros(F.col("ts").cast("timestamp")) / 3600000000.0) % 24
+    box = F.array(x, F.col("value"), x + 0.5, F.col("value") + 1.0)
+    rows = e.select(
+        F.col("event_id").cast("int").alias("ordinal"), F.col("user_id").cast("string").alias("block"), F.lit(None).cast("string").alias("region"), F.lit("TEXT").alias("kind"),
+        F.col("event_type").alias("raw"), F.lit(None).cast("string").alias("visibleText"), F.lit(1.0).alias("height"), F.lit(0.0).alias("rotation"), box.alias("box"),
+        F.array(x, F.col("value")).alias("position"), F.lit(False).alias("generatedByDimension"),
+    )
+    return units.build_units(rows).select("block", "place", "members", "source", "nlines")
