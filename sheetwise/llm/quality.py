@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import pieces, uniform
 
 #: Bounds of what a model is fitted on: documents of each class, and excerpts of each document.
-SAMPLE_DOCS, SAMPLE_EXCERPTS, EXCERPT = 3000, 8, 512
-DICT_BYTES, CHUNK, LEVEL = 110 << 10, 512, 3
+SAMPLE_DOCS, SAMPLE_EXCERPTS, EXCERPT = 5000, 8, 512
+DICT_BYTES, CHUNK, LEVEL = 400 << 10, 512, 3
 THRESHOLD = 0.7
 
 
@@ -129,7 +129,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`, the probability of label 1. Whole texts count; null and empty ones score by the bias alone.
 
-    The model, two dictionaries of at most 110 KiB and two numbers, travels with the tasks. A column
+    The model, two dictionaries of at most 400 KiB and two numbers, travels with the tasks. A column
     named score already there is replaced.
     """
     names = [c for c in docs.columns if c != "score"]
