@@ -74,7 +74,7 @@ def mix(docs: DataFrame, seed: str = "mix", limit: int = 3, keep: tuple[str, ...
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
     cross = sums.where("before <= rest AND before + words >= rest").groupBy("source").agg(F.max("bucket").alias("edge"), F.max_by("before", "bucket").alias("before"))
-    cross = cross.withColumnRenamed("source", "_of")
+    cross = cut(cross.withColumnRenamed("source", "_of"))  # a row for each source: its size is known to the planner
     ranked = ranked.join(cross, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
     sure = ranked.where("q IS NULL OR edge IS NULL OR bucket <> edge").withColumn("hit", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)))
     inside = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
