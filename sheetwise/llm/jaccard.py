@@ -132,6 +132,8 @@ def _may_link() -> str:
     return f"{_FIT} AND {apart} <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
 
 
+#: SQL: if this is the first list in the common order that two linked sets share, what follows it still holds enough for a link.
+_FIRST = f"{NUM + DEN} * (least(n_a - r_a, n_b - r_b)) >= {NUM} * (n_a + n_b)"
 _FIT = f"{NUM} * greatest(n_a, n_b) <= {DEN} * least(n_a, n_b)"
 
 
@@ -186,7 +188,7 @@ def _frequency_classes(surveyed: DataFrame) -> bytes:
 
 
 def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
-    """(shingle, cid, pivot): the short lists with two different sets at least, each with a random member as pivot.
+    """(shingle, cid, rank, pivot): the short lists with two different sets at least, each with a random member as pivot.
 
     The order of lists, by frequency class and then hash, is the same for all sets. Copies in a task
     are listed once. Lists stream by in sorted order, so none is held in memory, and very long ones are
@@ -209,25 +211,27 @@ def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
                         continue
                     done.add(cid)
                     short = n - -(-NUM * n // DEN) + 1
-                    rank = level[(s >> shift).astype(np.int64)]
-                    keys.append(s[np.lexsort((s, rank))[:short]] if rank.any() else s[:short])
+                    often = level[(s >> shift).astype(np.int64)]
+                    keys.append(s[np.lexsort((s, often))[:short]] if often.any() else s[:short])
                     cids.append((cid, short))
                 if not keys:
                     continue
                 key = np.concatenate(keys)
-                cid = np.repeat(np.array([c for c, _ in cids], np.int64), [k for _, k in cids])
+                counts = np.array([k for _, k in cids])
+                cid = np.repeat(np.array([c for c, _ in cids], np.int64), counts)
+                rank = (np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
                 up = np.maximum(level[(key >> shift).astype(np.int64)].astype(np.int64) - HOT, 0)
                 salt = np.where(up > 0, (mix(cid.view(np.uint64)) % (np.uint64(1) << up.astype(np.uint64))).astype(np.int64), -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(cid)], ["shingle", "salt", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(cid), pa.array(rank)], ["shingle", "salt", "cid", "rank"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # of the list that may go on: shingle, salt, pivot, whether the pivot is out, the last member
+        held: tuple | None = None  # of the list that may go on: shingle, salt, pivot, whether the pivot is out, the last member, the pivot's rank
         for batch in batches:
-            key, salt, cid = (batch.column(c).to_numpy() for c in ("shingle", "salt", "cid"))
+            key, salt, cid, rank = (batch.column(c).to_numpy() for c in ("shingle", "salt", "cid", "rank"))
             out = np.zeros(len(key), bool)
             if held:
                 key, salt, cid = np.append(held[0], key), np.append(held[1], salt), np.append(held[2], cid)
-                out = np.append(held[3], out)
+                out, rank = np.append(held[3], out), np.append(np.int32(held[5]), rank)
             if not len(key):
                 continue
             same = np.zeros(len(key), bool)
@@ -237,17 +241,17 @@ def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
             if held and len(key) > 1 and same[1] and cid[1] == held[4]:
                 twice[1:] |= np.logical_and.accumulate(same[1:] & (cid[1:] == held[4]))
             last = (key[-1], salt[-1], cid[-1])
-            key, salt, cid, out, same = key[~twice], salt[~twice], cid[~twice], out[~twice], same[~twice]
+            key, salt, cid, out, same, rank = key[~twice], salt[~twice], cid[~twice], out[~twice], same[~twice], rank[~twice]
             group = np.cumsum(~same) - 1
             begin = np.flatnonzero(~same)
             size = np.bincount(group)
             pivot = cid[begin][group]
             show = ((size[group] > 1) | (salt >= 0)) & ~out
-            held = (key[-1], salt[-1], pivot[-1], bool(out[begin[-1]] or size[-1] > 1 or salt[-1] >= 0), last[2])
-            yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(cid[show]), pa.array(pivot[show])], ["shingle", "cid", "pivot"])
+            held = (key[-1], salt[-1], pivot[-1], bool(out[begin[-1]] or size[-1] > 1 or salt[-1] >= 0), last[2], rank[begin[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(cid[show]), pa.array(rank[show]), pa.array(pivot[show])], ["shingle", "cid", "rank", "pivot"])
 
-    rows = docs.select("text").where("text IS NOT NULL").mapInArrow(emit, "shingle long, salt int, cid long")
-    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", F.xxhash64("shingle", "cid"), "cid").mapInArrow(lists, "shingle long, cid long, pivot long")
+    rows = docs.select("text").where("text IS NOT NULL").mapInArrow(emit, "shingle long, salt int, cid long, rank int")
+    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", F.xxhash64("shingle", "cid"), "cid").mapInArrow(lists, "shingle long, cid long, rank int, pivot long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
@@ -332,7 +336,8 @@ def similar(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class. Each class is first compared with a few pivots of the lists that it is
     in, which joins groups of near copies; then, in lists whose members are not yet in one component,
-    all members of different components are compared. A pair inside a component needs no comparison, so
+    all members of different components are compared, where it can be the first list that two linked sets
+    share: nothing before it in the common order is shared, so enough must follow. A pair inside a component needs no comparison, so
     a group of near copies costs as many comparisons as it has members, and no link between
     components is missed. Parity bitmaps rule out, without loss, most pairs that share a passage only. Null and empty texts have no shingles and link with nothing; rows with a repeated doc_id share
     a result if their sets are linked. Other columns are not read.
@@ -359,12 +364,12 @@ def similar(docs: DataFrame) -> DataFrame:
     links = cut(_check(first, bodies))
     parts = cut(components(links))
 
-    comp = lists.select("shingle", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("shingle", "cid", F.coalesce("component", "cid").alias("comp"))
+    comp = lists.select("shingle", "cid", "rank").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("shingle", "cid", "rank", F.coalesce("component", "cid").alias("comp"))
     mixed = comp.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
     open_lists = cut(comp.join(mixed, "shingle").join(sizes.select("cid", "n"), "cid"))
-    x = open_lists.select("shingle", F.col("cid").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"))
-    y = open_lists.select("shingle", F.col("cid").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"))
-    more = x.join(y, "shingle").where((F.col("c_a") < F.col("c_b")) & F.expr(_FIT)).select("a", "b").distinct()
+    x = open_lists.select("shingle", F.col("cid").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"), F.col("rank").alias("r_a"))
+    y = open_lists.select("shingle", F.col("cid").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"), F.col("rank").alias("r_b"))
+    more = x.join(y, "shingle").where((F.col("c_a") < F.col("c_b")) & F.expr(_FIT) & F.expr(_FIRST)).select("a", "b").distinct()
     tried = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = cut(more.join(tried, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").where(may_link).select("a", "b"))
     links2 = cut(_check(more, bodies))
