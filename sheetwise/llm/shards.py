@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Bytes of a finished shard, runs of one tier that trigger a merge, and the ratio between tiers.
 TARGET, FANOUT, RATIO = 256 << 20, 4, 4
 #: Rows of an arriving shard at most.
@@ -171,7 +173,7 @@ def shard(docs: DataFrame, path: str, target: int = TARGET, rows: int = ARRIVAL_
     if not files:
         out = docs.limit(0).withColumns({"_shard": F.lit(0), "_shard_bytes": F.lit(0).cast("long"), "_version": F.lit(version)})
         return store, out
-    listed = spark.createDataFrame([(s.path, i, s.bytes) for i, s in enumerate(files)], "_path string, _shard int, _shard_bytes long")
-    # a row for each file, not for each document; small enough to send while it is under the planner's own bound
+    # a row for each file, as a table of known size: the planner sends it whole only below its own bound
+    listed = cut(spark.createDataFrame([(s.path, i, s.bytes) for i, s in enumerate(files)], "_path string, _shard int, _shard_bytes long"))
     rows_in = store.read().withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"(runs/[^/]+/[^/]+)$", 1))
     return store, rows_in.join(listed, F.col("_file") == F.col("_path")).drop("_file", "_path").withColumn("_version", F.lit(version))

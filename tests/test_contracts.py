@@ -16,6 +16,8 @@ def snapshot():
         {"handle": "1B", "kind": "TEXT", "slot": "text", "raw": "P-101", "block": "Model", "height": 2.5, "rotation": 0, "layer": "0", "style": "S", "color": 7, "position": [50, 0, 0], "box": [50, 0, 53, 2]},
         {"handle": "2C", "kind": "TABLE", "slot": "0,1,0", "row": 0, "column": 1, "contentIndex": 0, "raw": "x", "block": "Model", "height": 2.5, "rotation": 0, "layer": "0", "style": "S", "color": 7, "position": [0, 90, 0], "box": [0, 90, 5, 92]},
     ]
+    for r in rows:
+        r["worldBoxes"] = [{"root": "Model", "instancePath": ["B1"], "box": r["box"]}]
     return {
         "schemaVersion": 1, "tableIndexBase": 0, "sourceSha256": HASH_A, "cadInputSha256": HASH_B, "worldBoxCoverage": "complete", "rows": rows,
         "blocks": [{"handle": "B1", "name": "Model", "layout": True, "origin": [0, 0, 0], "entities": 5}, {"handle": "B2", "name": "*U3", "layout": False, "origin": [0, 0, 0], "entities": 1}],
@@ -93,9 +95,67 @@ def test_reflow_rules(spark, tmp_path):
     m["edits"][0].update(action="reflow-member", reflowGroup="g")
     m["edits"][1].update(action="reflow-member", reflowGroup="g")
     m["reflows"] = [{"group": "g", "sourceHandles": ["1A", "1B"], "block": "Model", "target": "Valve C30 P-101", "protectedValues": ["C30"], "verificationIssues": [], "layoutPlan": {"region": [0, 0, 9, 9], "width": 5}}]
-    assert rules(spark, tmp_path, snapshot(), m) == set()
+    plain = snapshot()
+    plain["geometry"].pop(0)
+    assert rules(spark, tmp_path, plain, m) == set()
+    assert rules(spark, tmp_path, snapshot(), m) == {"V10"}
     m["reflows"].append({**m["reflows"][0], "sourceHandles": ["1A", "77"], "target": "C300"})
-    assert {"V09", "V16", "V17", "V19"} <= rules(spark, tmp_path, snapshot(), m)
+    assert {"V09", "V16", "V17", "V19"} <= rules(spark, tmp_path, plain, m)
+
+
+def test_long_notes_keep_their_column(spark, tmp_path):
+    v = snapshot()
+    v["geometry"].pop(0)
+    v["rows"][0].update(kind="MTEXT", raw="a long note of several lines" + r"\P" + "that is longer than forty characters", box=[0, 0, 40, 9])
+    m = mapping()
+    m["edits"][0].update(kind="MTEXT", expectedRaw=v["rows"][0]["raw"], action="reflow-member", reflowGroup="g", protectedValues=[])
+    flow = {"group": "g", "sourceHandles": ["1a"], "block": "Model", "target": "t", "verificationIssues": [], "layoutPlan": {"region": [0, 0, 90, 9], "width": 40.0}}
+    m["reflows"] = [flow]
+    assert rules(spark, tmp_path, v, m) == set()
+    flow["layoutPlan"]["width"] = 41.0
+    assert rules(spark, tmp_path, v, m) == {"V20"}
+
+
+def test_joined_text(spark):
+    from sheetwise.operators import members
+
+    ddl = "g int, place int, block string, raw string, visibleText string, kind string, rotation double, height double, box array<double>, position array<double>"
+    rows = [(1, 0, "B", "C3", None, "TEXT", 0.0, 2.0, [0.0, 0.0, 5.0, 2.0], None), (1, 1, "B", "0", None, "TEXT", 0.0, 2.0, [5.5, 0.1, 7.0, 2.0], None), (1, 2, "B", "far", None, "TEXT", 0.0, 2.0, [50.0, 0.0, 55.0, 2.0], None), (2, 0, "B", "a", "v", "TEXT", 0.0, 2.0, None, None)]
+    got = {r.g: r.source for r in members.joined_text(spark.createDataFrame(rows, ddl), ["g"]).collect()}
+    assert got == {1: "C30\nfar", 2: "v"}
+
+
+def test_coverage(spark, tmp_path):
+    v, m = snapshot(), mapping()
+    v["coverageIssues"] = [{"type": "missing-text-bounds", "handle": "1B"}, {"type": "unreadable-custom-or-image", "handle": "G9"}]
+    assert rules(spark, tmp_path, v, m) == {"CR1"}
+    v["rows"][1].update(raw="I")
+    v["geometry"].append({"handle": "G9", "type": "AcDbZombieEntity", "block": "Model", "shape": {"OriginalClassName": "TH_ParaBasePntUA", "HasFields": False, "XData": [None, ""]}})
+    m["edits"][1].update(handle="1B", expectedRaw="I", target="I")
+    m["scope"]["coverageResolutions"] = [{"type": "missing-text-bounds", "handle": "1B", "reason": "unchanged-ascii-degenerate"}, {"type": "unreadable-custom-or-image", "handle": "G9", "reason": "preserved-proxy-graphics"}]
+    assert rules(spark, tmp_path, v, m) == set()
+    v["geometry"][-1]["shape"]["HasFields"] = True
+    m["scope"]["coverageResolutions"][0]["reason"] = "other"
+    assert rules(spark, tmp_path, v, m) == {"CR2", "CR3"}
+
+
+def test_bilingual_counterparts(spark, tmp_path):
+    v, m = snapshot(), mapping()
+    m["mode"] = "bilingual"
+    for e in m["edits"]:
+        e.update(action="retain", needsTranslation=False, target=e["expectedRaw"])
+    m["edits"][0].update(needsTranslation=True, retainReason="existing-bilingual", counterpartKeys=[["2c", "0,1,0"]], counterpartComplete=True, counterpartMeaning="valve")
+    assert rules(spark, tmp_path, v, m) == set()
+    m["edits"][0].update(counterpartKeys=[["1a", "text"]])
+    assert rules(spark, tmp_path, v, m) == {"V45", "V46"}
+    m["edits"][0].update(retainReason="existing-bilingual-inline", inlineSource="阀门", inlineTarget="C30")
+    assert rules(spark, tmp_path, v, m) == set()
+    m["edits"][0].update(inlineTarget="门")
+    assert rules(spark, tmp_path, v, m) == {"V42"}
+    m["edits"][0].update(needsTranslation=False)
+    v["rows"][1]["worldBoxes"] = []
+    v.pop("worldBoxCoverage")
+    assert rules(spark, tmp_path, v, m) == {"V40", "PR1", "PR3"}
 
 
 def test_addition_rules(spark, tmp_path):
