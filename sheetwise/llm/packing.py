@@ -17,7 +17,7 @@ from .common import cut, drop, pieces, text_buffer
 CAPACITY, SEPARATOR = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words kept in a worker's memory; the table is emptied when it is full.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 300_000
 #: Code points whose classes are the same in every Unicode version of the last twenty years.
 PLAIN = 0x0250
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
@@ -183,7 +183,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in batches:
-            for part in pieces(batch, "text", 2 << 20):
+            for part in pieces(batch, "text"):
                 ids, counts = bpe.encode(part.column("text"))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, separator).astype("<u4")
