@@ -1,7 +1,6 @@
 import copy
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.operators import binding, contracts, diff, evidence
@@ -46,17 +45,26 @@ def load(spark, tmp_path, value, schema, name):
     return artifacts.read_json(spark, str(p / name), schema)
 
 
-def rules(spark, tmp_path, source, m):
-    out = contracts.validate(load(spark, tmp_path, source, schemas.SNAPSHOT, "extracted.json"), load(spark, tmp_path, m, schemas.MAPPING, "mapping.json"))
-    return {r.rule for r in out.collect()}
+def with_edit(change):
+    m = mapping()
+    change(m)
+    return m
 
 
-def test_good_mapping_passes(spark, tmp_path):
-    assert rules(spark, tmp_path, snapshot(), mapping()) == set()
+def bilingual(**first):
+    m = mapping()
+    m["mode"] = "bilingual"
+    for e in m["edits"]:
+        e.update(action="retain", needsTranslation=False, target=e["expectedRaw"])
+    m["edits"][0].update(needsTranslation=True, retainReason="existing-bilingual", counterpartKeys=[["2c", "0,1,0"]], counterpartComplete=True, counterpartMeaning="valve")
+    m["edits"][0].update(first)
+    return m
 
 
-def test_broken_mappings(spark, tmp_path):
-    cases = [
+def cases():
+    """(source, mapping, rules that must break, whether no other may)."""
+    out = [(snapshot(), mapping(), set(), True)]
+    single = [
         ("V01", lambda m: m.update(schemaVersion=2)),
         ("V02", lambda m: m.update(sourceSha256=HASH_B)),
         ("V03", lambda m: m.update(mode="other")),
@@ -66,108 +74,97 @@ def test_broken_mappings(spark, tmp_path):
         ("V33", lambda m: m["edits"][0].update(expectedRaw="other")),
         ("V34", lambda m: m["edits"][0].update(verificationIssues=["?"])),
         ("V36", lambda m: m["edits"][2].update(column=0)),
-        ("V47", lambda m: m["edits"][0].update(target="　 ", protectedValues=[])),
+        ("V47", lambda m: m["edits"][0].update(target="\u3000 ", protectedValues=[])),
         ("V48", lambda m: m["edits"][0].update(target="Valve C300")),
         ("V49", lambda m: m["edits"][1].pop("retainReason")),
         ("V51", lambda m: m["edits"][1].update(action="burn")),
     ]
-    bad = []
-    docs = []
-    for i, (rule, change) in enumerate(cases):
-        m = copy.deepcopy(mapping())
-        change(m)
-        folder = tmp_path / f"case{i:02d}"
-        folder.mkdir()
-        (folder / "mapping.json").write_text(json.dumps(m), encoding="utf-8")
-        (folder / "extracted.json").write_text(json.dumps(snapshot()), encoding="utf-8")
-        docs.append((f"case{i:02d}", rule))
-    src = artifacts.snapshots(spark, [str(tmp_path / d / "extracted.json") for d, _ in docs])
-    maps = artifacts.mappings(spark, [str(tmp_path / d / "mapping.json") for d, _ in docs])
-    got = {}
-    for r in contracts.validate(src, maps).collect():
-        got.setdefault(r.job_id, set()).add(r.rule)
-    bad = [(d, rule, got.get(d)) for d, rule in docs if rule not in got.get(d, set())]
-    assert not bad
-
+    out += [(snapshot(), with_edit(change), {rule}, False) for rule, change in single]
 
-def test_reflow_rules(spark, tmp_path):
-    m = mapping()
-    m["edits"][0].update(action="reflow-member", reflowGroup="g")
-    m["edits"][1].update(action="reflow-member", reflowGroup="g")
+    m = mapping()  # reflows
+    for e in m["edits"][:2]:
+        e.update(action="reflow-member", reflowGroup="g")
     m["reflows"] = [{"group": "g", "sourceHandles": ["1A", "1B"], "block": "Model", "target": "Valve C30 P-101", "protectedValues": ["C30"], "verificationIssues": [], "layoutPlan": {"region": [0, 0, 9, 9], "width": 5}}]
     plain = snapshot()
     plain["geometry"].pop(0)
-    assert rules(spark, tmp_path, plain, m) == set()
-    assert rules(spark, tmp_path, snapshot(), m) == {"V10"}
+    out += [(plain, m, set(), True), (snapshot(), m, {"V10"}, True)]
+    m = copy.deepcopy(m)
     m["reflows"].append({**m["reflows"][0], "sourceHandles": ["1A", "77"], "target": "C300"})
-    assert {"V09", "V16", "V17", "V19"} <= rules(spark, tmp_path, plain, m)
-
-
-def test_long_notes_keep_their_column(spark, tmp_path):
-    v = snapshot()
-    v["geometry"].pop(0)
-    v["rows"][0].update(kind="MTEXT", raw="a long note of several lines" + r"\P" + "that is longer than forty characters", box=[0, 0, 40, 9])
-    m = mapping()
-    m["edits"][0].update(kind="MTEXT", expectedRaw=v["rows"][0]["raw"], action="reflow-member", reflowGroup="g", protectedValues=[])
-    flow = {"group": "g", "sourceHandles": ["1a"], "block": "Model", "target": "t", "verificationIssues": [], "layoutPlan": {"region": [0, 0, 90, 9], "width": 40.0}}
-    m["reflows"] = [flow]
-    assert rules(spark, tmp_path, v, m) == set()
-    flow["layoutPlan"]["width"] = 41.0
-    assert rules(spark, tmp_path, v, m) == {"V20"}
+    out.append((plain, m, {"V09", "V16", "V17", "V19"}, False))
 
+    long = copy.deepcopy(plain)  # a note's column
+    long["rows"][0].update(kind="MTEXT", raw="a long note of several lines\\Pthat is longer than forty characters", box=[0, 0, 40, 9])
+    for width, broken in ((40.0, set()), (41.0, {"V20"})):
+        m = mapping()
+        m["edits"][0].update(kind="MTEXT", expectedRaw=long["rows"][0]["raw"], action="reflow-member", reflowGroup="g", protectedValues=[])
+        m["reflows"] = [{"group": "g", "sourceHandles": ["1a"], "block": "Model", "target": "t", "verificationIssues": [], "layoutPlan": {"region": [0, 0, 90, 9], "width": width}}]
+        out.append((long, m, broken, True))
 
-def test_joined_text(spark):
-    from sheetwise.operators import members
-
-    ddl = "g int, place int, block string, raw string, visibleText string, kind string, rotation double, height double, box array<double>, position array<double>"
-    rows = [(1, 0, "B", "C3", None, "TEXT", 0.0, 2.0, [0.0, 0.0, 5.0, 2.0], None), (1, 1, "B", "0", None, "TEXT", 0.0, 2.0, [5.5, 0.1, 7.0, 2.0], None), (1, 2, "B", "far", None, "TEXT", 0.0, 2.0, [50.0, 0.0, 55.0, 2.0], None), (2, 0, "B", "a", "v", "TEXT", 0.0, 2.0, None, None)]
-    got = {r.g: r.source for r in members.joined_text(spark.createDataFrame(rows, ddl), ["g"]).collect()}
-    assert got == {1: "C30\nfar", 2: "v"}
-
+    m = bilingual(retainReason=None, counterpartKeys=None, target=None)  # additions
+    place = {"position": [1, 1, 0], "rotation": 0, "width": 5, "height": 3, "region": [0, 0, 10, 10], "minReadableHeight": 2}
+    m["additions"] = [{"id": "a", "sourceKeys": [["1a", "text"]], "block": "Model", "properties": "1a", "target": "Valve C30", "placement": place, "protectedValues": ["C30"], "verificationIssues": []}]
+    out.append((snapshot(), m, set(), True))
+    m = copy.deepcopy(m)
+    m["additions"] += [{**m["additions"][0], "block": "Other", "placement": {**place, "position": [50, 1, 0], "height": 1}}]
+    out.append((snapshot(), m, {"V21", "V25", "V26", "V28", "V31", "V32"}, False))
 
-def test_coverage(spark, tmp_path):
-    v, m = snapshot(), mapping()
+    v, m = snapshot(), mapping()  # coverage
     v["coverageIssues"] = [{"type": "missing-text-bounds", "handle": "1B"}, {"type": "unreadable-custom-or-image", "handle": "G9"}]
-    assert rules(spark, tmp_path, v, m) == {"CR1"}
+    out.append((copy.deepcopy(v), copy.deepcopy(m), {"CR1"}, True))
     v["rows"][1].update(raw="I")
     v["geometry"].append({"handle": "G9", "type": "AcDbZombieEntity", "block": "Model", "shape": {"OriginalClassName": "TH_ParaBasePntUA", "HasFields": False, "XData": [None, ""]}})
     m["edits"][1].update(handle="1B", expectedRaw="I", target="I")
     m["scope"]["coverageResolutions"] = [{"type": "missing-text-bounds", "handle": "1B", "reason": "unchanged-ascii-degenerate"}, {"type": "unreadable-custom-or-image", "handle": "G9", "reason": "preserved-proxy-graphics"}]
-    assert rules(spark, tmp_path, v, m) == set()
+    out.append((copy.deepcopy(v), copy.deepcopy(m), set(), True))
     v["geometry"][-1]["shape"]["HasFields"] = True
     m["scope"]["coverageResolutions"][0]["reason"] = "other"
-    assert rules(spark, tmp_path, v, m) == {"CR2", "CR3"}
-
-
-def test_bilingual_counterparts(spark, tmp_path):
-    v, m = snapshot(), mapping()
-    m["mode"] = "bilingual"
-    for e in m["edits"]:
-        e.update(action="retain", needsTranslation=False, target=e["expectedRaw"])
-    m["edits"][0].update(needsTranslation=True, retainReason="existing-bilingual", counterpartKeys=[["2c", "0,1,0"]], counterpartComplete=True, counterpartMeaning="valve")
-    assert rules(spark, tmp_path, v, m) == set()
-    m["edits"][0].update(counterpartKeys=[["1a", "text"]])
-    assert rules(spark, tmp_path, v, m) == {"V45", "V46"}
-    m["edits"][0].update(retainReason="existing-bilingual-inline", inlineSource="阀门", inlineTarget="C30")
-    assert rules(spark, tmp_path, v, m) == set()
-    m["edits"][0].update(inlineTarget="门")
-    assert rules(spark, tmp_path, v, m) == {"V42"}
-    m["edits"][0].update(needsTranslation=False)
+    out.append((v, m, {"CR2", "CR3"}, True))
+
+    inline = {"retainReason": "existing-bilingual-inline", "inlineSource": "阀门", "inlineTarget": "C30"}  # counterparts
+    out += [
+        (snapshot(), bilingual(), set(), True),
+        (snapshot(), bilingual(counterpartKeys=[["1a", "text"]]), {"V45", "V46"}, True),
+        (snapshot(), bilingual(**inline), set(), True),
+        (snapshot(), bilingual(**{**inline, "inlineTarget": "门"}), {"V42"}, True),
+    ]
+    v = snapshot()
     v["rows"][1]["worldBoxes"] = []
     v.pop("worldBoxCoverage")
-    assert rules(spark, tmp_path, v, m) == {"V40", "PR1", "PR3"}
+    out.append((v, bilingual(needsTranslation=False), {"V40", "PR1", "PR3"}, True))
+    return out
 
 
-def test_addition_rules(spark, tmp_path):
-    m = mapping()
-    m["mode"] = "bilingual"
-    for e in m["edits"]:
-        e.update(action="retain", needsTranslation=True, target=None)
-    place = {"position": [1, 1, 0], "rotation": 0, "width": 5, "height": 3, "region": [0, 0, 10, 10], "minReadableHeight": 2}
-    m["additions"] = [{"id": "a", "sourceKeys": [["1a", "text"]], "block": "Model", "properties": "1a", "target": "Valve C30", "placement": place, "protectedValues": ["C30"], "verificationIssues": []}]
-    assert rules(spark, tmp_path, snapshot(), m) == set()
-    m["additions"] += [{**m["additions"][0], "block": "Other", "placement": {**place, "position": [50, 1, 0], "height": 1}}]
-    assert {"V21", "V25", "V26", "V28", "V31", "V32"} <= rules(spark, tmp_path, snapshot(), m)
+def write(folder, **documents):
+    """The documents as JSON files with a byte order mark."""
+    folder.mkdir(parents=True)
+    for name, value in documents.items():
+        (folder / f"{name}.json").write_text("\ufeff" + json.dumps(value, ensure_ascii=False), encoding="utf-8")
+
+
+def test_mappings(spark, tmp_path):
+    """All cases as jobs of one validation."""
+    known = cases()
+    for i, (v, m, _, _) in enumerate(known):
+        write(tmp_path / f"case{i:02d}", extracted=v, mapping=m)
+    found = contracts.validate(artifacts.snapshots(spark, f"{tmp_path}/*/extracted.json"), artifacts.mappings(spark, f"{tmp_path}/*/mapping.json"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.job_id, set()).add(r.rule)
+    wrong = {}
+    for i, (_, _, want, only) in enumerate(known):
+        have = got.get(f"case{i:02d}", set())
+        if not want <= have or only and have != want:
+            wrong[i] = (want, have)
+    assert not wrong
+
+
+def test_joined_text(spark):
+    from sheetwise.operators import members
+
+    ddl = "g int, place int, block string, raw string, visibleText string, kind string, rotation double, height double, box array<double>, position array<double>"
+    rows = [(1, 0, "B", "C3", None, "TEXT", 0.0, 2.0, [0.0, 0.0, 5.0, 2.0], None), (1, 1, "B", "0", None, "TEXT", 0.0, 2.0, [5.5, 0.1, 7.0, 2.0], None), (1, 2, "B", "far", None, "TEXT", 0.0, 2.0, [50.0, 0.0, 55.0, 2.0], None), (2, 0, "B", "a", "v", "TEXT", 0.0, 2.0, None, None)]
+    got = {r.g: r.source for r in members.joined_text(spark.createDataFrame(rows, ddl), ["g"]).collect()}
+    assert got == {1: "C30\nfar", 2: "v"}
 
 
 def test_circles(spark, tmp_path):
@@ -183,38 +180,43 @@ def changed(change):
     return v
 
 
-@pytest.mark.parametrize(
-    ("rule", "change"),
-    [
-        (None, lambda v: None),
-        (None, lambda v: (v["blocks"][1].update(name="*U9"), v["geometry"][1].update(block="*U9"), v["instances"][0].update(block="*U9", bounds=[9, 9, 9, 9]))),
-        (None, lambda v: v["geometry"][1]["shape"]["a"].__setitem__(1, 0.1 + 1e-16)),
-        ("GD12", lambda v: v["geometry"][1]["shape"]["a"].__setitem__(1, 0.1001)),
-        ("GD12", lambda v: v["geometry"][1]["shape"].pop("e")),
-        ("GD12", lambda v: v["geometry"][1]["shape"].update(n=4)),
-        ("GD12", lambda v: v["geometry"][1]["shape"]["b"].__setitem__(2, 0)),
-        ("GD1", lambda v: v["blocks"].pop()),
-        ("GD4", lambda v: v["blocks"][1].update(name="Named")),
-        ("GD6", lambda v: v["blocks"][0].update(entities=6)),
-        ("GD8", lambda v: v["geometry"].pop()),
-        ("GD10", lambda v: v["geometry"][0].update(layer="other")),
-        ("GD14", lambda v: v["instances"][0].update(matrix=[2.0, 0.0])),
-        ("SC8", lambda v: v["styles"][0].update(font="b.shx")),
-        ("SC1", lambda v: v["rows"][1].update(raw="P-102")),
-        ("SC4", lambda v: v["rows"][0].update(raw="Valve")),
-        ("SC26", lambda v: v["rows"].append({**v["rows"][0], "handle": "FF"})),
-        ("SC28", lambda v: v["rows"][1].update(box=[60, 0, 63, 2])),
-    ],
-)
-def test_saved_snapshot(spark, tmp_path, rule, change):
-    s, m = load(spark, tmp_path, snapshot(), schemas.SNAPSHOT, "extracted.json"), load(spark, tmp_path, mapping(), schemas.MAPPING, "mapping.json")
-    v = load(spark, tmp_path, changed(change), schemas.SNAPSHOT, "saved.json")
-    r = load(spark, tmp_path, {"schemaVersion": 1, "additions": [], "reflows": []}, schemas.RECEIPT, "write-status.json")
-    found = diff.geometry_diff(s, v, m) if rule and rule[:2] == "GD" or rule == "SC8" else diff.content_diff(s, m, v, r)
-    if rule is None:
-        found = found.union(diff.geometry_diff(s, v, m))
-    got = {x.rule for x in found.collect()}
-    assert got == set() if rule is None else rule in got
+CHANGES = [
+    (None, lambda v: None),
+    (None, lambda v: (v["blocks"][1].update(name="*U9"), v["geometry"][1].update(block="*U9"), v["instances"][0].update(block="*U9", bounds=[9, 9, 9, 9]))),
+    (None, lambda v: v["geometry"][1]["shape"]["a"].__setitem__(1, 0.1 + 1e-16)),
+    ("GD12", lambda v: v["geometry"][1]["shape"]["a"].__setitem__(1, 0.1001)),
+    ("GD12", lambda v: v["geometry"][1]["shape"].pop("e")),
+    ("GD12", lambda v: v["geometry"][1]["shape"].update(n=4)),
+    ("GD12", lambda v: v["geometry"][1]["shape"]["b"].__setitem__(2, 0)),
+    ("GD1", lambda v: v["blocks"].pop()),
+    ("GD4", lambda v: v["blocks"][1].update(name="Named")),
+    ("GD6", lambda v: v["blocks"][0].update(entities=6)),
+    ("GD8", lambda v: v["geometry"].pop()),
+    ("GD10", lambda v: v["geometry"][0].update(layer="other")),
+    ("GD14", lambda v: v["instances"][0].update(matrix=[2.0, 0.0])),
+    ("SC8", lambda v: v["styles"][0].update(font="b.shx")),
+    ("SC1", lambda v: v["rows"][1].update(raw="P-102")),
+    ("SC4", lambda v: v["rows"][0].update(raw="Valve")),
+    ("SC26", lambda v: v["rows"].append({**v["rows"][0], "handle": "FF"})),
+    ("SC28", lambda v: v["rows"][1].update(box=[60, 0, 63, 2])),
+]
+
+
+def test_saved_snapshots(spark, tmp_path):
+    """All changes of a saved snapshot as jobs of one comparison."""
+    for i, (_, change) in enumerate(CHANGES):
+        write(tmp_path / f"case{i:02d}", extracted=snapshot(), mapping=mapping(), saved=changed(change), status={"schemaVersion": 1, "additions": [], "reflows": []})
+    s, v = (artifacts.snapshots(spark, f"{tmp_path}/*/{n}.json") for n in ("extracted", "saved"))
+    m, r = artifacts.mappings(spark, f"{tmp_path}/*/mapping.json"), artifacts.read_json(spark, f"{tmp_path}/*/status.json", schemas.RECEIPT)
+    got = {}
+    for x in [*diff.geometry_diff(s, v, m).collect(), *diff.content_diff(s, m, v, r).collect()]:
+        got.setdefault(x.job_id, set()).add(x.rule)
+    wrong = {}
+    for i, (rule, _) in enumerate(CHANGES):
+        have = got.get(f"case{i:02d}", set())
+        if (rule not in have) if rule else have:
+            wrong[i] = (rule, have)
+    assert not wrong
 
 
 def test_review(spark, tmp_path):
