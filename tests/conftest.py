@@ -11,7 +11,7 @@ def spark():
 
     s = session(
         "tests",
-        master="local[3]",
+        master="local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g", "spark.driver.host": "127.0.0.1"},
     )
     s.sparkContext.setLogLevel("ERROR")
