@@ -23,14 +23,15 @@ DESCENTS, HOPS = 3, 4
 #: Nodes that a search keeps, and those that are scored exactly at its end.
 BEAM, FINAL = 48, 48
 
-_GRAPH = "node long, ids array<long>, sims array<float>"
+_GRAPH = "node long, ids array<long>, sims array<double>"
 
 
 def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: vec_id, node; nodes: node, dims, code, vector): one node for equal vectors, none where a vector takes no part.
 
-    code is the vector in 8-bit steps with its scale first; it is for the graph only.
+    code is the vector as the column holds it, in single or double precision; the graph and the search rank by its products.
     """
+    kind = _kind(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,8 +44,7 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                 raw = x.tobytes()
                 node.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
                 dims.append(len(x))
-                scale = np.abs(x).max() / 127
-                code.append(np.float32(scale).tobytes() + np.rint(x / scale).astype(np.int8).tobytes())
+                code.append(x.astype(kind).tobytes())
                 body.append(raw)
                 norm.append(math.sqrt(float(x @ x)))
             yield pa.RecordBatch.from_arrays(
@@ -61,9 +61,14 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made.select("vec_id", "node"), one.drop("clash")
 
 
-def decode(codes: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+def _kind(vectors: DataFrame) -> str:
+    """The NumPy type that holds the components of the embeddings without loss."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
+def decode(codes: list[bytes], kind: str) -> np.ndarray:
+    """Vectors in double precision: in a group of near copies products differ by less than single precision resolves."""
+    return np.frombuffer(b"".join(codes), kind).reshape(len(codes), -1).astype(np.float64)
 
 
 def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -88,7 +93,7 @@ def best(node: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[
     return node[at], np.minimum(np.diff(np.append(at, len(node))), k), other[keep], sim[keep]
 
 
-def _start(points: DataFrame) -> DataFrame:
+def _start(points: DataFrame, kind: str) -> DataFrame:
     """The first graph: exact neighbours within groups of similar vectors, in several groupings.
 
     A grouping takes the signs of random projections against sample medians. Inner products become
@@ -130,16 +135,16 @@ def _start(points: DataFrame) -> DataFrame:
 
     def exact(group: pa.Table) -> pa.Table:
         node = group.column("node").to_numpy()
-        x = decode(group.column("code").to_pylist())
+        x = decode(group.column("code").to_pylist(), kind)
         k = min(DEGREE, len(node) - 1)
-        ids, sims = np.zeros((len(node), k), np.int64), np.zeros((len(node), k), np.float32)
+        ids, sims = np.zeros((len(node), k), np.int64), np.zeros((len(node), k))
         for at in range(0, len(node) if k else 0, 256):
             s = x[at : at + 256] @ x.T
             s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
             top_k = np.argpartition(-s, k - 1, axis=1)[:, :k]
             ids[at : at + 256], sims[at : at + 256] = node[top_k], np.take_along_axis(s, top_k, 1)
         counts = np.full(len(node), k)
-        return pa.table({"node": node, "ids": _lists(ids.ravel(), counts, pa.int64()), "sims": _lists(sims.ravel(), counts, pa.float32())})
+        return pa.table({"node": node, "ids": _lists(ids.ravel(), counts, pa.int64()), "sims": _lists(sims.ravel(), counts, pa.float64())})
 
     return merge(dealt.groupBy(*place, "salt").applyInArrow(exact, _GRAPH))
 
@@ -153,12 +158,12 @@ def merge(lists: DataFrame, k: int = DEGREE) -> DataFrame:
             node = np.repeat(batch.column("node").to_numpy(), np.diff(ids.offsets.to_numpy()))
             other, sim = ids.flatten().to_numpy(), batch.column("sims").flatten().to_numpy()
             who, counts, other, sim = best(node, other, sim, k)
-            yield pa.RecordBatch.from_arrays([pa.array(who), _lists(other, counts, pa.int64()), _lists(sim, counts, pa.float32())], ["node", "ids", "sims"])
+            yield pa.RecordBatch.from_arrays([pa.array(who), _lists(other, counts, pa.int64()), _lists(sim, counts, pa.float64())], ["node", "ids", "sims"])
 
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _GRAPH)
 
 
-def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
+def _descend(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
     """Candidate lists from one round: at each node its neighbours, and as many nodes it is a neighbour of, meet each other.
 
     A pair is passed on to a member whose worst neighbour it beats.
@@ -166,7 +171,7 @@ def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
     forward = graph.select(F.col("node").alias("at"), F.explode("ids").alias("node"))
     turn = Window.partitionBy("at").orderBy(F.xxhash64("node", "at"))
     back = forward.select(F.col("node").alias("at"), F.col("at").alias("node")).withColumn("r", F.row_number().over(turn)).where(f"r <= {DEGREE}").select("at", "node")
-    worst = graph.select("node", F.when(F.size("ids") >= DEGREE, F.array_min("sims")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
+    worst = graph.select("node", F.when(F.size("ids") >= DEGREE, F.array_min("sims")).otherwise(F.lit(float("-inf"))).alias("worst"))
     members = forward.union(back).distinct().join(codes.join(worst, "node"), "node").select("at", "node", "worst", "code")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +185,7 @@ def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
                 own = codes_of[lo:hi]
                 if len({len(c) for c in own}) != 1:
                     continue
-                x = decode(own)
+                x = decode(own, kind)
                 s = x @ x.T
                 np.fill_diagonal(s, -np.inf)
                 i, j = np.nonzero(s > worst_of[lo:hi, None])
@@ -189,17 +194,17 @@ def _descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
                 sims.append(s[i, j])
             if a:
                 who, counts, other, sim = best(np.concatenate(a), np.concatenate(b), np.concatenate(sims), DEGREE)
-                yield pa.RecordBatch.from_arrays([pa.array(who), _lists(other, counts, pa.int64()), _lists(sim, counts, pa.float32())], ["node", "ids", "sims"])
+                yield pa.RecordBatch.from_arrays([pa.array(who), _lists(other, counts, pa.int64()), _lists(sim, counts, pa.float64())], ["node", "ids", "sims"])
 
     return members.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _GRAPH)
 
 
-def build(points: DataFrame) -> DataFrame:
+def build(points: DataFrame, kind: str) -> DataFrame:
     """The neighbour graph (node, ids, sims), improved by joins of neighbours of neighbours until under 1 % of it changes."""
     codes = points.select("node", "code")
-    graph = cut(_start(points))
+    graph = cut(_start(points, kind))
     for _ in range(DESCENTS):
-        after = cut(merge(graph.union(_descend(graph, codes))))
+        after = cut(merge(graph.union(_descend(graph, codes, kind))))
         old = graph.select(F.col("node").alias("_n"), F.col("ids").alias("old"))
         change = after.join(old, F.col("node") == F.col("_n")).agg(F.sum(F.size(F.array_except("ids", "old"))), F.sum(F.size("ids"))).first()
         drop(graph)
@@ -209,7 +214,7 @@ def build(points: DataFrame) -> DataFrame:
     return graph
 
 
-def search(starts: DataFrame, graph: DataFrame, codes: DataFrame) -> DataFrame:
+def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str) -> DataFrame:
     """(query, ids, sims): greedy search from each query's own node, `starts` (query, code).
 
     Each hop opens the best nodes of a query's pool that are not open yet and scores their neighbours. A query
@@ -217,7 +222,7 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame) -> DataFrame:
     """
     links = graph.select("node", "ids")
     none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() AS array<{kind}>)")).alias(c)
-    pool = cut(starts.join(graph, F.col("query") == F.col("node"), "left").select("query", none("ids", "long"), none("sims", "float"), F.expr("cast(array(query) AS array<long>)").alias("open")))
+    pool = cut(starts.join(graph, F.col("query") == F.col("node"), "left").select("query", none("ids", "long"), none("sims", "double"), F.expr("cast(array(query) AS array<long>)").alias("open")))
     for _ in range(HOPS):
         front = pool.select("query", F.explode(F.array_except(F.slice("ids", 1, BEAM), "open")).alias("node"))
         seen = front.join(links, "node").select("query", F.explode("ids").alias("node")).distinct().where("query <> node")
@@ -239,21 +244,21 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame) -> DataFrame:
                     head = np.flatnonzero(kind == 0)
                     me = next(code[int(i)].as_py() for i in head if code[int(i)].is_valid)
                     old = next(int(i) for i in head if ids[int(i)].is_valid)
-                    had, sims = np.array(ids[old].as_py(), np.int64), np.array(own.column("sims")[old].as_py(), np.float32)
+                    had, sims = np.array(ids[old].as_py(), np.int64), np.array(own.column("sims")[old].as_py(), np.float64)
                     opened = np.union1d(np.array(own.column("open")[old].as_py(), np.int64), had[:BEAM])
                     rest = [(n, c) for n, c in zip(own.column("node").to_pylist(), code.to_pylist()) if n is not None and len(c) == len(me)]
                     node = np.array([n for n, _ in rest], np.int64)
-                    s = decode([c for _, c in rest]) @ decode([me])[0] if rest else np.zeros(0, np.float32)
-                    _, _, node, s = best(np.zeros(len(had) + len(node)), np.append(had, node), np.append(sims, s).astype(np.float32), 2 * BEAM)
+                    s = decode([c for _, c in rest], form) @ decode([me], form)[0] if rest else np.zeros(0)
+                    _, _, node, s = best(np.zeros(len(had) + len(node)), np.append(had, node), np.append(sims, s), 2 * BEAM)
                     for column, value in zip(out, (int(query[lo]), node, s, opened)):
                         column.append(value)
                 lens = lambda c: np.array(list(map(len, c)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), _lists(np.concatenate(out[1]), lens(out[1]), pa.int64()), _lists(np.concatenate(out[2]), lens(out[2]), pa.float32()), _lists(np.concatenate(out[3]), lens(out[3]), pa.int64())],
+                    [pa.array(out[0], pa.int64()), _lists(np.concatenate(out[1]), lens(out[1]), pa.int64()), _lists(np.concatenate(out[2]), lens(out[2]), pa.float64()), _lists(np.concatenate(out[3]), lens(out[3]), pa.int64())],
                     ["query", "ids", "sims", "open"],
                 )
 
-        after = cut(rows.repartition("query").sortWithinPartitions("query", "kind").mapInArrow(hop, "query long, ids array<long>, sims array<float>, open array<long>"))
+        after = cut(rows.repartition("query").sortWithinPartitions("query", "kind").mapInArrow(hop, "query long, ids array<long>, sims array<double>, open array<long>"))
         drop(pool)
         pool = after
         moving = pool.where(F.size(F.array_except(F.slice("ids", 1, BEAM // 2), "open")) > 0).limit(1).count()
@@ -263,7 +268,7 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def _no_lists() -> list:
-    return [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<float>").alias("sims"), F.lit(None).cast("array<long>").alias("open")]
+    return [F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<double>").alias("sims"), F.lit(None).cast("array<long>").alias("open")]
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
@@ -277,12 +282,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """
     rows, points = nodes(vectors)
     rows = rows.distinct()
-    graph = build(points)
+    kind = _kind(vectors)
+    graph = build(points, kind)
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = queries.select(F.col("node").alias("query")).distinct()
     codes = points.select("node", "code")
     starts = cut(asked.join(codes, F.col("query") == F.col("node")).select("query", "code"))
-    found = search(starts, graph, codes)
+    found = search(starts, graph, codes, kind)
     pairs = found.select("query", F.explode(F.slice("ids", 1, FINAL)).alias("node")).union(starts.select("query", F.col("query").alias("node")))
     body = points.select("node", "vector")
     pairs = pairs.join(body, "node").join(body.select(F.col("node").alias("query"), F.col("vector").alias("of")), "query")

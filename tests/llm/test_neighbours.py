@@ -65,3 +65,17 @@ def test_edges(spark):
     assert got[60][:2] == [(40, 5.0), (41, 5.0)] and all(v != 60 for v, _ in got[60])
     assert found(neighbours.nearest(spark.createDataFrame([(0, [1.0], 1)], SCHEMA))) == {}
     assert found(neighbours.nearest(spark.createDataFrame([], SCHEMA))) == {}
+
+
+def test_recall_among_near_copies(spark):
+    """Unit vectors with a group of thousands of near copies, beyond one group of LEAF: their products differ by less than a coarse code resolves."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[0] + 0.0056 * rng.standard_normal((3000, 64))
+    x[1000:4000] = near / np.linalg.norm(near, axis=1, keepdims=True)
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(x)]
+    got = found(neighbours.nearest(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA), every=40))
+    want = brute(rows, every=40)
+    crowd = {q: own for q, own in want.items() if 1000 <= q < 4000}
+    assert recall(got, want) >= 0.9 and recall({q: got[q] for q in crowd}, crowd) >= 0.9
