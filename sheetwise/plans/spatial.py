@@ -221,13 +221,22 @@ def sanitize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT token, count(*) AS documents FROM t JOIN documents d ON regexp_matches(d.text, '(^|[^A-Za-z0-9_.])' || token || '([^A-Za-z0-9_.]|$|\.([^0-9]|$))') GROUP BY token""",
 )
 def boundary_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which a benchmark word stands as a unit. Candidates come from an equi-join on the words of both; the pattern decides."""
-    words = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z]{6,}"), F.lit(0))))
-    tokens = table(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(words(F.col("text")).alias("token")).distinct()
-    # a unit is a whole run of letters, digits, underscores and dots but for a dot at its end, so a document's letter runs hold it
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    seen = docs.select("doc_id", "text", words(F.col("text")).alias("token")).join(tokens, "token")
-    return seen.where(text.has_literal(F.col("text"), F.col("token"))).groupBy("token").agg(F.count("*").alias("documents"))
+    """Documents in which a word of every tenth benchmark item stands as a unit, as its SQL has it."""
+    return _word_documents(table(spark, sf_dir, "benchmark").where("item_id % 10 = 0"), table(spark, sf_dir, "documents"))
+
+
+@register("boundary_literal_all")
+def boundary_literal_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a word of any benchmark item stands as a unit. In SQL each word is a pattern of its own over every text."""
+    return _word_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def _word_documents(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(token, documents): a word is a whole run of letters, so one fixed pattern finds all that stand as units, and an equi-join counts them."""
+    words = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("token")
+    tokens = items.select(words("[A-Za-z]{6,}")).distinct()
+    seen = docs.select(words(r"(?<![A-Za-z0-9_.])[A-Za-z]{6,}+(?=[^A-Za-z0-9_.]|$|\.(?:[^0-9]|$))"))
+    return seen.join(tokens, "token").groupBy("token").agg(F.count("*").alias("documents"))
 
 
 @register(

@@ -85,3 +85,17 @@ def test_ulp(spark):
     pairs = [(1.0, 1.0 + 2**-51, True), (1.0, 1.00001, False), (1e6, math.nextafter(1e6, 2e6), True), (float("nan"), float("nan"), False), (float("inf"), float("inf"), False), (0.0, 1e-13, True)]
     for a, b, want in pairs:
         assert spark.createDataFrame([(a, b)], "a double, b double").select(same_number(F.col("a"), F.col("b"))).first()[0] is want
+
+
+def test_words_of_all_items(spark, tmp_path):
+    import re
+
+    items = [(1, "Turbine rotor casing"), (10, "bearing Turbine"), (13, "gasket flange"), (27, None)]
+    texts = ["the turbine Turbine.", "Turbine.5 casing", "xcasing, casing_ (casing)", "gasket.x bearing", "flange.", "a.flange flange9", "écasing", "flange\n", None, "gasket gasket"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {w for _, t in items for w in re.findall("[A-Za-z]{6,}", t or "")}
+    hit = lambda w, t: re.search(rf"(^|[^A-Za-z0-9_.]){w}([^A-Za-z0-9_.]|\Z|\.([^0-9]|\Z))", t or "")
+    want = {w: n for w in words if (n := sum(bool(hit(w, t)) for t in texts))}
+    assert {"flange", "gasket", "casing"} <= set(want)
+    assert dict(map(tuple, entry.queries()["boundary_literal_all"](spark, str(tmp_path)).collect())) == want
