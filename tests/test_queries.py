@@ -99,3 +99,11 @@ def test_words_of_all_items(spark, tmp_path):
     want = {w: n for w in words if (n := sum(bool(hit(w, t)) for t in texts))}
     assert {"flange", "gasket", "casing"} <= set(want)
     assert dict(map(tuple, entry.queries()["boundary_literal_all"](spark, str(tmp_path)).collect())) == want
+
+
+def test_every_row_is_a_circle(spark, tmp_path):
+    """Circles of rows whose vec_id is no multiple of ten enclose points too."""
+    rows = [(1, [0.0, 0.0], 0), (2, [0.025, 0.0], 0), (3, [0.0, 0.01], 1), (12, [0.5, 0.5], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = entry.queries()["nearest_enclosing_all"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, 2), (2, 1)]
