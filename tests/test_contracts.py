@@ -246,3 +246,34 @@ def test_listing_diff(spark):
     a = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", "3")], "path string, sha256 string")
     b = spark.createDataFrame([("y", "2"), ("z", "4"), ("w", "5")], "path string, sha256 string")
     assert sorted(map(tuple, artifacts.listing_diff(a, b).collect())) == [("w", "archive"), ("x", "copy"), ("z", "replace")]
+
+
+def test_references_and_looks(spark, tmp_path):
+    """Changed references between blocks, and changed looks of retained texts."""
+
+    def full():
+        x = snapshot()
+        x["blocks"][0]["references"] = [{"handle": "R1", "child": "*U3", "scale": [1, 1.0], "box": [0, 0, 1, 1]}]
+        for r in x["rows"]:
+            r.update(bigFont="", width=0.0, alignmentPoint=[0, 0, 0], widthFactor=1.0)
+        return x
+
+    def link(**k):
+        return lambda x: x["blocks"][0]["references"][0].update(k)
+
+    def look(**k):
+        return lambda x: x["rows"][0].update(k)
+
+    cases = [(None, link(box=[0, 0, 2, 2])), (None, link(scale=[1.0, 1])), ("GD7", link(scale=[1, 2.0])), ("GD7", link(child="Model")), ("GD3", link(child="gone")), ("GD7", lambda x: x["blocks"][0]["references"].clear())]
+    cases += [("GD3", lambda x: x["blocks"][0]["references"].append(x["blocks"][0]["references"][0])), ("SC2", look(width=3.0)), ("SC2", look(bigFont="b")), ("SC2", look(widthFactor=0.8)), ("SC2", look(alignmentPoint=None)), ("SC2", look(block="*U3"))]
+    for i, (_, change) in enumerate(cases):
+        saved = full()
+        change(saved)
+        write(tmp_path / f"case{i:02d}", extracted=full(), mapping=bilingual(), saved=saved, status={"schemaVersion": 1, "additions": [], "reflows": []})
+    s, v = (artifacts.snapshots(spark, f"{tmp_path}/*/{n}.json") for n in ("extracted", "saved"))
+    m, r = artifacts.mappings(spark, f"{tmp_path}/*/mapping.json"), artifacts.read_json(spark, f"{tmp_path}/*/status.json", schemas.RECEIPT)
+    got = {}
+    for x in [*diff.geometry_diff(s, v, m).collect(), *diff.content_diff(s, m, v, r).collect()]:
+        got.setdefault(x.job_id, set()).add(x.rule)
+    have = [got.get(f"case{i:02d}", set()) for i in range(len(cases))]
+    assert all(rule in h if rule else not h & {"GD3", "GD7", "SC2"} for (rule, _), h in zip(cases, have)), have
