@@ -83,7 +83,6 @@ class ByteBPE:
                 slow |= np.array([token in text[a:b] for a, b in zip(begins[:-1], begins[1:])], bool)
         if slow.any():
             parts, counts, fast = [], np.zeros(n, np.int64), np.flatnonzero(~slow)
-            quick = self._fast(text, cp, begins, np.zeros(0, np.int64)) if not len(fast) else None
             plain = [text[begins[i] : begins[i + 1]] for i in fast]
             joined = "".join(plain)
             at = np.concatenate([[0], np.cumsum([len(x) for x in plain])]).astype(np.int64)
