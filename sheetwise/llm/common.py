@@ -23,10 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies in spark.checkpoint.dir. Only where that is unset, as in tests, a local one is made.
+    It lies in spark.checkpoint.dir. Only where that is unset and one machine does all the work, as in tests, a local
+    one is made; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_sheetwise_dir", None) or tempfile.mkdtemp(prefix="sheetwise-")
         spark._sheetwise_dir = base
     return f"{base.rstrip('/')}/sheetwise-{uuid.uuid4().hex}"
@@ -42,10 +46,23 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like cut(), in hash buckets of a key: a join on it moves the other side only."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"sheetwise_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    out._sheetwise_path, out._sheetwise_table = path, name
+    return out
+
+
 def drop(*tables: DataFrame) -> None:
-    """Deletes tables made by cut() that nothing reads any more."""
+    """Deletes tables made by cut() and bucketed() that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_sheetwise_path", None)
+        if name := getattr(df, "_sheetwise_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)

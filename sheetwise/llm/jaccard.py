@@ -3,7 +3,9 @@
 Two sets with a Jaccard similarity of 3/4 share at least T = ceil(3n/4) of either's n shingles. In
 DivideSkip, a set's T - 1 longest inverted lists are left out and only the n - T + 1 shortest are merged:
 whatever reaches T occurs in one of those at least. Here the short lists are built by a shuffle on the
-shingle, over all documents; the long ones are probed when a candidate's whole set is at hand.
+shingle, over all documents, and say which sets can meet. A set then gets the lists of its shingles over
+all sets that it meets: short ones are heap-merged, long ones probed by binary search, and the number of
+occurrences decides.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -21,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, pieces, text_buffer
+from .common import bucketed, components, cut, drop, pieces, text_buffer
 
 WORDS = 5
 #: 3/4 as integers: two sets link when NUM * union <= DEN * intersection.
@@ -30,10 +33,14 @@ NUM, DEN = 3, 4
 SKETCH_BITS, SKETCH_BLOCK = 20, 4096
 #: Lists with more than 2 ** HOT documents are split by salt.
 HOT = 16
-#: Candidates checked by one call.
-BUNDLE = 512
-#: Links tried per document before whole lists are compared.
-PIVOTS = 3
+#: Shingles of the candidates that one call searches.
+BUNDLE = 1 << 18
+#: Links tried per document in a round before whole lists are compared, and rounds at most. Neither changes the result.
+PIVOTS, ROUNDS = 3, 5
+#: Members of a list that meet in one piece of a join; longer lists are dealt out in blocks.
+BLOCK = 1024
+#: Distinct sets that a task remembers to list copies once; then it starts anew.
+REMEMBERED = 1 << 20
 
 _rng = np.random.default_rng(5_2024)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,13 +118,13 @@ def class_of(own: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(own: np.ndarray) -> list[int]:
-    """A parity bit for each residue of the hashes, two to four bits a shingle, as 64-bit words.
+    """A parity bit for each residue of the hashes, two to four bits a shingle in small sets and one to two in large ones, as 64-bit words.
 
     Two sets differ in as many shingles as their bitmaps in bits, at least. A bitmap of twice the length
     folds to the shorter one.
     """
     bits = 64
-    while bits < 2 * len(own):
+    while bits < max(len(own), min(2 * len(own), 512)):
         bits *= 2
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
@@ -132,8 +139,9 @@ def _may_link() -> str:
     return f"{_FIT} AND {apart} <= n_a + n_b - 2 * ceil({NUM} * (n_a + n_b) / {NUM + DEN})"
 
 
-#: SQL: if this is the first list in the common order that two linked sets share, what follows it still holds enough for a link.
-_FIRST = f"{NUM + DEN} * (least(n_a - r_a, n_b - r_b)) >= {NUM} * (n_a + n_b)"
+#: SQL: the largest partner of a set with n shingles if a list at this rank of its common order is the first that both share:
+#: what follows must hold enough for a link, (NUM + DEN) * (n - rank) >= NUM * (n + partner).
+_REACH = f"(({NUM + DEN} * (n - rank) - {NUM} * n) div {NUM})"
 _FIT = f"{NUM} * greatest(n_a, n_b) <= {DEN} * least(n_a, n_b)"
 
 
@@ -209,6 +217,8 @@ def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
                     cid = class_of(s)[0]
                     if cid in done:
                         continue
+                    if len(done) >= REMEMBERED:
+                        done.clear()
                     done.add(cid)
                     short = n - -(-NUM * n // DEN) + 1
                     often = level[(s >> shift).astype(np.int64)]
@@ -225,33 +235,38 @@ def _short_lists(docs: DataFrame, classes: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt), pa.array(cid), pa.array(rank)], ["shingle", "salt", "cid", "rank"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # of the list that may go on: shingle, salt, pivot, whether the pivot is out, the last member, the pivot's rank
+        held: tuple | None = None  # the last member of the list that may go on, and whether it is out
         for batch in batches:
             key, salt, cid, rank = (batch.column(c).to_numpy() for c in ("shingle", "salt", "cid", "rank"))
             out = np.zeros(len(key), bool)
             if held:
-                key, salt, cid = np.append(held[0], key), np.append(held[1], salt), np.append(held[2], cid)
-                out, rank = np.append(held[3], out), np.append(np.int32(held[5]), rank)
+                key, salt, cid, rank, out = (np.append(h, c) for h, c in zip(held, (key, salt, cid, rank, out)))
             if not len(key):
                 continue
-            same = np.zeros(len(key), bool)
-            same[1:] = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
-            twice = np.zeros(len(key), bool)
-            twice[1:] = same[1:] & (cid[1:] == cid[:-1])
-            if held and len(key) > 1 and same[1] and cid[1] == held[4]:
-                twice[1:] |= np.logical_and.accumulate(same[1:] & (cid[1:] == held[4]))
-            last = (key[-1], salt[-1], cid[-1])
-            key, salt, cid, out, same, rank = key[~twice], salt[~twice], cid[~twice], out[~twice], same[~twice], rank[~twice]
-            group = np.cumsum(~same) - 1
-            begin = np.flatnonzero(~same)
-            size = np.bincount(group)
-            pivot = cid[begin][group]
-            show = ((size[group] > 1) | (salt >= 0)) & ~out
-            held = (key[-1], salt[-1], pivot[-1], bool(out[begin[-1]] or size[-1] > 1 or salt[-1] >= 0), last[2], rank[begin[-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(cid[show]), pa.array(rank[show]), pa.array(pivot[show])], ["shingle", "cid", "rank", "pivot"])
+            same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+            new = np.append(True, ~(same & (cid[1:] == cid[:-1])))
+            key, salt, cid, rank, out = key[new], salt[new], cid[new], rank[new], out[new]
+            begin = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))
+            size = np.bincount(np.cumsum(begin) - 1)
+            shared = (size > 1)[np.cumsum(begin) - 1] | (salt >= 0)
+            show = shared & ~out
+            held = (key[-1], salt[-1], cid[-1], rank[-1], shared[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[show]), pa.array(cid[show]), pa.array(rank[show])], ["shingle", "cid", "rank"])
 
     rows = docs.select("text").where("text IS NOT NULL").mapInArrow(emit, "shingle long, salt int, cid long, rank int")
-    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", F.xxhash64("shingle", "cid"), "cid").mapInArrow(lists, "shingle long, cid long, rank int, pivot long")
+    return rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "cid").mapInArrow(lists, "shingle long, cid long, rank int")
+
+
+def _different(lists: DataFrame) -> DataFrame:
+    """(shingle, cid, rank, times): of lists with the same members only the first in the common order, and how many they are.
+
+    A passage makes as many equal lists as it has shingles. A pair that is in all of them shares that first one before the
+    others. Member sets are told apart by their number and 128 bits of combined hashes.
+    """
+    marks = [F.expr(f"bit_xor(xxhash64(cid, {k}L))").alias(f"m{k}") for k in (1, 2)]
+    each = lists.groupBy("shingle").agg(F.count("*").alias("k"), *marks, F.min("rank").alias("at")).where("k > 1")
+    first = each.groupBy("k", "m1", "m2").agg(F.min_by("shingle", F.struct("at", "shingle")).alias("shingle"), F.count("*").alias("times"))
+    return lists.join(first.select(F.col("shingle").alias("_s"), "times", F.col("k").alias("members")), F.col("shingle") == F.col("_s")).drop("_s")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
@@ -266,12 +281,11 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
     if not fits:
         return []
     least = min(need[i] for i in fits)
-    member = np.concatenate([np.searchsorted(query, x) for x in ([sets[i][np.isin(sets[i], query, assume_unique=True)] for i in fits])])
-    owner = np.repeat(fits, [np.isin(sets[i], query, assume_unique=True).sum() for i in fits])
-    order = np.lexsort((owner, member))
-    member, owner = member[order], owner[order]
-    begin = np.searchsorted(member, np.arange(n + 1))
-    inverted = sorted((owner[a:b].tolist() for a, b in zip(begin[:-1], begin[1:]) if b > a), key=len)
+    shingle, owner = np.concatenate([sets[i] for i in fits]), np.repeat(fits, [len(sets[i]) for i in fits])
+    order = np.lexsort((owner, shingle))
+    shingle, owner = shingle[order], owner[order]
+    begin, end = np.searchsorted(shingle, query, "left"), np.searchsorted(shingle, query, "right")
+    inverted = sorted((owner[a:b].tolist() for a, b in zip(begin.tolist(), end.tolist()) if b > a), key=len)
     longest = len(inverted[-1]) if inverted else 0
     n_long = min(least - 1, int(least / (0.01 * math.log2(max(2, longest)) + 1)), len(inverted))
     short, long = inverted[: len(inverted) - n_long], inverted[len(inverted) - n_long :]
@@ -291,8 +305,8 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray]) -> list[int]:
 
 
 def _check(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. texts: (cid, body); a's lists are searched for up to BUNDLE partners at a time."""
-    tally = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumnRenamed("a", "_a")
+    """The pairs (a, b) that link. pairs: (a, b, n_a); texts: (cid, body). A set's lists are searched over a bundle of partners at a time."""
+    tally = pairs.groupBy("a").agg((F.count("*") * F.first("n_a")).alias("k")).withColumnRenamed("a", "_a")
     dealt = pairs.join(tally, F.col("a") == F.col("_a")).withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / BUNDLE)).cast("int")).select("a", "b", "salt")
     rows = dealt.select("a", "salt", F.col("b").alias("cid")).union(dealt.select("a", "salt", F.col("a").alias("cid")).distinct())
     rows = rows.join(texts, "cid").select("a", "salt", "cid", "body")
@@ -321,6 +335,8 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 cids, bodies = [], []
                 for s, t in zip(shingle_sets(part.column("text")), part.column("text").cast(pa.binary())):
                     if len(s) and (cid := class_of(s)[0]) not in done:
+                        if len(done) >= REMEMBERED:
+                            done.clear()
                         done.add(cid)
                         cids.append(cid)
                         bodies.append(z.compress(t.as_buffer()))
@@ -331,52 +347,113 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.join(wanted, "cid", "left_semi").withColumn("r", F.row_number().over(one)).where("r = 1").select("cid", "body")
 
 
+def _try(lists: DataFrame, parts: DataFrame | None, known: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b, n_a): for each set b a few pivots a of lists that it is in, each from another component.
+
+    A list's pivot is some member of the component that most of its members are in, so members outside it are few. The pairs
+    in `done` have been compared. known: (cid, n, map).
+    """
+    here = lists.select("shingle", "cid", "times") if parts is None else _open(lists, parts).select("shingle", "cid", "times", "comp")
+    comp = F.col("cid") if parts is None else F.col("comp")
+    here = here.withColumn("comp", comp)
+    pick = F.xxhash64("cid", F.lit(turn))
+    each = here.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.min_by("cid", pick).alias("a"))
+    pivot = each.groupBy("shingle").agg(F.max_by(F.struct("a", "comp"), F.struct("k", F.xxhash64("a", F.lit(turn)))).alias("p")).select(F.col("shingle").alias("_s"), "p.a", F.col("p.comp").alias("of"))
+    seen = here.join(pivot, F.col("shingle") == F.col("_s")).where("comp <> of").groupBy("a", F.col("cid").alias("b")).agg(F.sum("times").alias("times"))
+    if done is not None:
+        seen = seen.join(done, ["a", "b"], "left_anti")
+    best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
+    some = seen.withColumn("r", F.row_number().over(best)).where(f"r <= {3 * PIVOTS}").drop("r")
+    some = _sized(some, known).where(F.expr(_may_link()))
+    return some.withColumn("r", F.row_number().over(best)).where(f"r <= {PIVOTS}").select("a", "b", "n_a")
+
+
+def _sized(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sets' sizes and bitmaps."""
+    for x in "ab":
+        pairs = pairs.join(known.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("map").alias(f"m_{x}")), x)
+    return pairs
+
+
+def _open(lists: DataFrame, parts: DataFrame) -> DataFrame:
+    """The lists whose members are not yet in one component, with each member's component as comp."""
+    comp = lists.join(parts.select(F.col("node").alias("_n"), "component"), F.col("cid") == F.col("_n"), "left").drop("_n")
+    comp = comp.withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    mixed = comp.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(F.col("shingle").alias("_s"))
+    return comp.join(mixed, F.col("shingle") == F.col("_s")).drop("_s")
+
+
+def _rest(lists: DataFrame, parts: DataFrame, known: DataFrame, done: DataFrame) -> DataFrame:
+    """(a, b, n_a): all pairs of open lists from two components that may link and are not in `done`.
+
+    Sizes, ranks and parity bitmaps rule out, without loss, what cannot link, before a pair leaves the join. Long lists
+    are dealt out: a member is in one block on one side and meets all blocks' members of the other.
+    """
+    rows = _open(lists, parts).join(known.select("cid", "n"), "cid").withColumn("reach", F.expr(_REACH)).select("shingle", "cid", "comp", "n", "reach", "members")
+    span = rows.groupBy("shingle").agg(F.min("n").alias("least"), F.max("reach").alias("most")).withColumnRenamed("shingle", "_s")
+    rows = rows.join(span, F.col("shingle") == F.col("_s")).where("reach >= least AND n <= most").drop("_s", "least", "most")
+    rows = cut(rows.join(known.select("cid", "map"), "cid"))  # bitmaps come last, as they are the widest column
+    side = lambda x: [F.col(c).alias(f"{t}_{x}") for c, t in (("comp", "c"), ("n", "n"), ("reach", "r"), ("map", "m"))]
+    fits = F.expr(f"c_a < c_b AND n_b <= r_a AND n_a <= r_b AND {_may_link()}")
+    few, many = rows.where(f"members <= {BLOCK}"), rows.where(f"members > {BLOCK}").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    met = few.select("shingle", F.col("cid").alias("a"), *side("a")).join(few.select("shingle", F.col("cid").alias("b"), *side("b")), "shingle").where(fits)
+    left = many.select("shingle", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("cid").alias("a"), *side("a"))
+    right = many.select("shingle", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("cid").alias("b"), *side("b"))
+    met = met.select("a", "b", "n_a").union(left.join(right, ["shingle", "block"]).where(fits).select("a", "b", "n_a"))
+    return met.groupBy("a", "b").agg(F.first("n_a").alias("n_a")).join(done, ["a", "b"], "left_anti")
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row.
 
     Equal sets are one class. Each class is first compared with a few pivots of the lists that it is
-    in, which joins groups of near copies; then, in lists whose members are not yet in one component,
-    all members of different components are compared, where it can be the first list that two linked sets
-    share: nothing before it in the common order is shared, so enough must follow. A pair inside a component needs no comparison, so
-    a group of near copies costs as many comparisons as it has members, and no link between
-    components is missed. Parity bitmaps rule out, without loss, most pairs that share a passage only. Null and empty texts have no shingles and link with nothing; rows with a repeated doc_id share
-    a result if their sets are linked. Other columns are not read.
+    in, in rounds as long as they find links, which joins groups of near copies; then, in lists whose members are not yet in
+    one component, all members of different components are compared, where it can be the first list that two linked sets
+    share: nothing before it in the common order is shared, so enough must follow. A pair inside a component needs no
+    comparison, so a group of near copies costs as many comparisons as it has members, and no link between
+    components is missed. Null and empty texts have no shingles and link with nothing; rows with a repeated doc_id share
+    a result if their sets are linked. Other columns are not read. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     surveyed = cut(_survey(docs))
     owned = surveyed.where("block IS NULL")
     classes = _frequency_classes(surveyed)
-    lists = cut(_short_lists(docs, classes))
-    sizes = owned.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.first("map").alias("map"), (F.min("mark") != F.max("mark")).alias("clash"))
-    sizes = cut(sizes.join(lists.select("cid").distinct(), "cid", "left_semi"))
-    if sizes.where("clash").limit(1).count():
+    whole = cut(_short_lists(docs, classes))
+    lists = cut(_different(whole))
+    drop(whole)
+    known = owned.where("n > 0").groupBy("cid").agg(F.min("n").alias("n"), F.first("map").alias("map"), (F.min("mark") != F.max("mark")).alias("clash"))
+    known = cut(known.join(lists.select("cid").distinct(), "cid", "left_semi"))
+    if known.where("clash").limit(1).count():
         raise RuntimeError("two different shingle sets share a 64-bit id")
-    bodies = cut(_bodies(docs, sizes.select("cid")))
-    of_a = sizes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("map").alias("m_a"))
-    of_b = sizes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("map").alias("m_b"))
-    may_link = F.expr(_may_link())
-
-    seen = lists.where("cid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("times"))
-    best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    some = seen.withColumn("r", F.row_number().over(best)).where(f"r <= {3 * PIVOTS}").drop("r")
-    some = some.join(of_a, "a").join(of_b, "b").where(may_link)
-    first = cut(some.withColumn("r", F.row_number().over(best)).where(f"r <= {PIVOTS}").select("a", "b"))
-    links = cut(_check(first, bodies))
-    parts = cut(components(links))
-
-    comp = lists.select("shingle", "cid", "rank").join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("shingle", "cid", "rank", F.coalesce("component", "cid").alias("comp"))
-    mixed = comp.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    open_lists = cut(comp.join(mixed, "shingle").join(sizes.select("cid", "n"), "cid"))
-    x = open_lists.select("shingle", F.col("cid").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"), F.col("rank").alias("r_a"))
-    y = open_lists.select("shingle", F.col("cid").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"), F.col("rank").alias("r_b"))
-    more = x.join(y, "shingle").where((F.col("c_a") < F.col("c_b")) & F.expr(_FIT) & F.expr(_FIRST)).select("a", "b").distinct()
-    tried = first.union(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = cut(more.join(tried, ["a", "b"], "left_anti").join(of_a, "a").join(of_b, "b").where(may_link).select("a", "b"))
-    links2 = cut(_check(more, bodies))
-    drop(bodies, open_lists, lists)
-    whole = components(links.union(links2))
-    member = owned.select("doc_id", "cid", "n").join(whole.withColumnRenamed("node", "cid"), "cid", "left")
-    member = member.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "cid")))
-    least = member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    known = known.drop("clash")
+    bodies = bucketed(_bodies(docs, known.select("cid")), "cid")
+
+    links, tried, parts, first = [], [], None, 0
+    for turn in range(ROUNDS):
+        done = _both_ways(_all(tried)) if tried else None
+        tried.append(cut(_try(lists, parts, known, done, turn)))
+        links.append(cut(_check(tried[-1], bodies)))
+        found = links[-1].count()
+        first = first or found
+        if parts is None or found:
+            parts = cut(components(_all(links)))
+        if found <= first // 100:
+            break
+    more = cut(_rest(lists, parts, known, _both_ways(_all(tried))))
+    links.append(cut(_check(more, bodies)))
+    if links[-1].limit(1).count():
+        parts = cut(components(_all(links)))
+    drop(bodies, lists, known, more, *tried, *links)
+    member = owned.select("doc_id", "cid", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    member = cut(member.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "cid"))))
+    least = cut(member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     out = member.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)

@@ -101,3 +101,36 @@ def test_shingle_counts():
     assert [len(s) for s in jaccard.shingle_sets(pa.array(texts))] == [len(s) for s in brute_sets(texts)]
     a, b = jaccard.shingle_sets(pa.array(texts[:2]))
     assert (a == b).all()
+
+
+def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
+    """Documents of one size that share a passage and do not link are compared in proportion to their number."""
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(100)]
+    made = {}
+    for n in (500, 2000):
+        rows = [(i, " ".join([f"x{rng.randrange(1 << 40)}" for _ in range(30)] + passage)) for i in range(n)]
+        pairs = []
+        real = jaccard._check
+        monkeypatch.setattr(jaccard, "_check", lambda p, t, real=real, pairs=pairs: (pairs.append(p.count()), real(p, t))[1])
+        got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        monkeypatch.setattr(jaccard, "_check", real)
+        assert all(r.component_id == r.doc_id and r.n_shingles == 126 for r in got)
+        made[n] = sum(pairs)
+    assert made[500] <= 3 * 500 * jaccard.PIVOTS and made[2000] <= 3 * 2000 * jaccard.PIVOTS
+
+
+def test_long_lists_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    rows = near_copies(4)
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_one_row_clash_and_a_very_long_text(spark):
+    t = " ".join(f"w{i}" for i in range(150_000))
+    df = spark.createDataFrame([(1, t, 5, "a"), (2, t + " end", 6, "b"), (None, "a b c d e f", 7, "c")], "doc_id long, text string, n long, component_id string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(df).collect()}
+    assert got == {1: (149_996, 1), 2: (149_997, 1), None: (2, None)}
+    assert [tuple(r) for r in jaccard.similar(df.where("doc_id = 1")).collect()] == [(1, 149_996, 1)]
