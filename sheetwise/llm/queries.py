@@ -74,17 +74,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                    CASE WHEN capped THEN cap::DOUBLE ELSE least(cap::DOUBLE,
                      (total - coalesce(sum(cap) FILTER (capped) OVER (), 0))::DOUBLE / (sum(w) FILTER (NOT capped) OVER ())::DOUBLE * w) END AS target
                  FROM capped),
-        part AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM goal),
+        part AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM goal),
+        leant AS (SELECT *, length(bin(greatest(size, 1))) - 1 + 8 AS g FROM sized),
+        class AS (SELECT k.source, g, words, target - whole * source_size AS lft
+                  FROM (SELECT source, g, sum(size)::BIGINT AS words FROM leant GROUP BY source, g) k JOIN part q ON k.source IS NOT DISTINCT FROM q.source),
+        level AS (SELECT *, lft > 0 AND (sum(words) OVER o)::DOUBLE + ((sum(g * words) OVER w)::BIGINT - (sum(g * words) OVER o)::BIGINT)::DOUBLE / g <= lft AS sure
+                  FROM class WINDOW w AS (PARTITION BY source), o AS (PARTITION BY source ORDER BY g DESC ROWS UNBOUNDED PRECEDING)),
+        left_over AS (SELECT *, lft - coalesce(sum(words) FILTER (sure) OVER w, 0)::BIGINT AS rest, (coalesce(sum(g * words) FILTER (NOT sure) OVER w, 0))::BIGINT AS free
+                  FROM level WINDOW w AS (PARTITION BY source)),
+        chance AS (SELECT source, g, rest, CASE WHEN sure THEN 1 WHEN free > 0 THEN least(rest / free * g, 1 - 1e-12::DOUBLE) ELSE 0 END::DOUBLE AS p FROM left_over),
         ranked AS (
-          SELECT doc_id, size, s.source, source_size, target, floor(share) AS whole, share - floor(share) AS p, target - floor(share) * source_size AS rest,
+          SELECT doc_id, size, s.source, source_size, target, whole, p, rest,
                  (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::UBIGINT + 0.5::DOUBLE) / 4503599627370496 AS u
-          FROM sized s JOIN part g ON s.source IS NOT DISTINCT FROM g.source),
-        odds AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked),
+          FROM leant s JOIN part q ON s.source IS NOT DISTINCT FROM q.source JOIN chance c ON s.source IS NOT DISTINCT FROM c.source AND s.g = c.g),
+        odds AS (SELECT *, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM ranked),
         placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY floor(q / (1 + q) * 4096), q, doc_id, size
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before FROM odds WHERE q IS NOT NULL
                    UNION ALL SELECT *, NULL FROM odds WHERE q IS NULL)
         SELECT doc_id, size, source_size, target,
-               (size * (whole + CASE WHEN before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
+               (size * (whole + CASE WHEN p >= 1 OR before + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM placed""",
 )
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

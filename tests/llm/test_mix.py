@@ -67,5 +67,50 @@ def test_inclusion_is_even(spark):
     assert max(first) < 2 * mean and min(first) > 0.5 * mean
 
 
+def requested(docs, limit=3):
+    """Expected copies of each document, by bisection on the level c of min(1, c * measure)."""
+    sizes = {}
+    for _, source, text, _ in docs:
+        sizes.setdefault(source, []).append(len(text.split()))
+    names = sorted(sizes)
+    goal = dict(zip(names, fill([sum(sizes[n]) for n in names], [i % 3 + 1 for i in range(len(names))], limit)))
+    out = {}
+    for n in names:
+        measure = [mix.LEAN + max(s, 1).bit_length() - 1 for s in sizes[n]]
+        whole = int(goal[n] / sum(sizes[n]) + 1e-12)
+        rest, lo, hi = goal[n] - whole * sum(sizes[n]), 0.0, 1.0
+        for _ in range(200):
+            c = (lo + hi) / 2
+            lo, hi = (c, hi) if sum(min(1, c * g) * s for g, s in zip(measure, sizes[n])) < rest else (lo, c)
+        for g in set(measure):
+            out[n, g] = whole + min(1, hi * g)
+    return out
+
+
+def test_inclusion_follows_the_requested_odds(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice("aabbbc"), "w " * (1 << rng.randint(0, 9)), 0) for i in range(30_000)]
+    want = requested(data)
+    seen = {}
+    for r in mix.mix(spark.createDataFrame(data, SCHEMA)).collect():
+        seen.setdefault((data[r.doc_id][1], mix.LEAN + r.size.bit_length() - 1), []).append(r.copies)
+    assert set(seen) == set(want)
+    for k, copies in seen.items():
+        p = want[k] % 1
+        assert abs(sum(copies) / len(copies) - want[k]) <= 4 * (p * (1 - p) / len(copies)) ** 0.5 + 2 / len(copies), k
+        assert set(copies) <= {int(want[k]), int(want[k]) + 1}
+    for source in "abc":  # longer documents are likelier wherever a sample is drawn
+        odds = [want[source, mix.LEAN + j] for j in range(10)]
+        assert odds == sorted(odds) and (odds[0] == int(odds[0]) or odds[0] < odds[-1])
+
+
+def test_certain_copies_leave_the_ranking(spark):
+    data = [(i, "a", "w " * 1000, 0) for i in range(30)] + [(30 + i, "a", "w", 0) for i in range(30)] + [(100 + i, "b", "w " * 400, 0) for i in range(100)]
+    want = requested(data)
+    for r in mix.mix(spark.createDataFrame(data, SCHEMA)).collect():
+        w = want[data[[d[0] for d in data].index(r.doc_id)][1], mix.LEAN + r.size.bit_length() - 1]
+        assert r.copies in (int(w), -int(-w // 1))
+
+
 def test_empty(spark):
     assert mix.mix(spark.createDataFrame([], SCHEMA)).collect() == []
