@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .common import cut
 TARGET, FANOUT, RATIO = 256 << 20, 4, 4
 #: Rows of an arriving shard at most.
 ARRIVAL_ROWS = 20_000
+#: Versions that expire() keeps, and the age from which an empty version's writer counts as lost.
+KEEP, STALE_S = 2, 600
 
 
 @dataclass(frozen=True)
@@ -32,12 +36,13 @@ class Conflict(RuntimeError):
 
 
 class ShardStore:
-    """Immutable Parquet shards below a folder, and manifests/NNNNNNNN.json, each the full list of one version.
+    """Immutable Parquet shards below a folder, and manifests/NNNNNNNN.json, each naming the full list of one version.
 
-    Files are written first and become visible only by the manifest. A commit writes the manifest under
-    a name of its own and renames it to the version's; the rename fails if that version exists, so of
-    two writers one wins and the other's files stay invisible. A lost executor leaves no trace: Spark's
-    committer moves files only of tasks that ended.
+    Files are written first and become visible only by the manifest. A commit writes the list under a name of its own, then
+    creates the version's file, which holds that name; creating a file that exists is refused, so of two writers one wins and
+    the other's files stay invisible. Stores such as HDFS refuse atomically; for local paths, where Hadoop looks first and
+    creates then, Java's own atomic call is used. A version whose writer was lost between the two steps is empty: readers pass it over, and
+    so do writers after STALE_S seconds. A lost executor leaves no trace: Spark's committer moves files only of tasks that ended.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -49,9 +54,19 @@ class ShardStore:
 
     # ---- manifests ----
 
+    def _claimed(self) -> dict[int, tuple[int, int]]:
+        """Bytes and time of each version's file."""
+        files = [f for f in self._fs.listStatus(self._path(f"{self.path}/manifests")) if f.getPath().getName()[0].isdigit()]
+        return {int(f.getPath().getName().removesuffix(".json")): (f.getLen(), f.getModificationTime()) for f in files}
+
     def versions(self) -> list[int]:
-        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.path}/manifests"))]
-        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+        return sorted(v for v, (size, _) in self._claimed().items() if size)
+
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(f"{self.path}/manifests/{name}"))
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text
 
     def shards(self, version: int | None = None) -> list[Shard]:
         """The shards of a version, by default the latest; none before the first."""
@@ -59,22 +74,37 @@ class ShardStore:
         if not known:
             return []
         at = known[-1] if version is None else version
-        stream = self._fs.open(self._path(f"{self.path}/manifests/{at:08d}.json"))
-        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return [Shard(**s) for s in json.loads(self._text(self._text(f"{at:08d}.json")))["shards"]]
+
+    def _put(self, name: str, text: str, exclusive: bool = False) -> None:
+        at = self._path(f"{self.path}/manifests/{name}")
+        if exclusive:
+            if self._fs.getScheme() == "file" and not self.spark._jvm.java.io.File(at.toUri().getPath()).createNewFile():
+                raise Conflict(f"{name} exists")
+            try:
+                stream = self._fs.create(at, self._fs.getScheme() == "file")
+            except Py4JJavaError as e:
+                if "AlreadyExists" in str(e.java_exception):
+                    raise Conflict(f"{name} exists") from None
+                raise
+        else:
+            stream = self._fs.create(at, False)
+        stream.write(bytearray(text.encode()))
         stream.close()
-        return [Shard(**s) for s in json.loads(text)["shards"]]
 
     def commit(self, shards: list[Shard], base: int) -> int:
-        """Publishes version base + 1."""
+        """Publishes the version after base, or raises Conflict if another writer has."""
+        body = f"_{uuid.uuid4().hex}.json"
+        self._put(body, json.dumps({"shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]}))
+        claimed, now = self._claimed(), time.time() * 1000
         version = base + 1
-        final = self._path(f"{self.path}/manifests/{version:08d}.json")
-        temporary = self._path(f"{self.path}/manifests/_{uuid.uuid4().hex}")
-        stream = self._fs.create(temporary, False)
-        stream.write(bytearray(json.dumps({"version": version, "shards": [asdict(s) for s in sorted(shards, key=lambda s: s.path)]}).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
-            self._fs.delete(temporary, False)
-            raise Conflict(f"version {version} exists")
+        while version in claimed and not claimed[version][0] and now - claimed[version][1] > STALE_S * 1000:
+            version += 1
+        try:
+            self._put(f"{version:08d}.json", body, exclusive=True)
+        except Conflict:
+            self._fs.delete(self._path(f"{self.path}/manifests/{body}"), False)
+            raise
         return version
 
     # ---- data ----
@@ -94,46 +124,41 @@ class ShardStore:
     def read(self, version: int | None = None) -> DataFrame | None:
         """All rows of a version, or None if it has no shard."""
         paths = [f"{self.path}/{s.path}" for s in self.shards(version)]
-        return self.spark.read.parquet(*paths) if paths else None
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
     # ---- compaction ----
 
     def compact(self, target: int = TARGET, fanout: int = FANOUT) -> int | None:
         """One round: in each tier with enough runs, merges them to files of about the target; the new version, or None.
 
-        All merges of a round are one job without a shuffle: the reader packs small files into
-        partitions of the target size, and each writes one file. The round is kept only if it leaves fewer files.
+        A merge reads the runs of one tier only and is a job without a shuffle: the reader packs small files into
+        partitions of the target size, and each writes one file. Its settings are those of a session of its own. A merge is kept only if it
+        leaves fewer files. Columns that only some runs have are null in the others' rows.
         """
         base = (self.versions() or [0])[-1]
         now = self.shards()
-        chosen = merge_groups(now, target, fanout)
-        if not chosen:
-            return None
-        conf, keep = self.spark.conf, {}
-        settings = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        try:
-            for k, v in settings.items():
-                keep[k] = conf.get(k, None)
-                conf.set(k, v)
-            schema = self.spark.read.parquet(f"{self.path}/{chosen[0].path}").schema
-            merged = self._write(self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.path}" for s in chosen)), base + 1)
-        finally:
-            for k, v in keep.items():
-                conf.unset(k) if v is None else conf.set(k, v)
-        merged = [s for s in merged if s.bytes]
-        if len(merged) >= len(chosen):
-            self._fs.delete(self._path(f"{self.path}/{merged[0].path}").getParent(), True)
-            return None
-        gone = {s.path for s in chosen}
-        return self.commit([s for s in now if s.path not in gone] + merged, base)
-
-    def expire(self, keep: int = 1) -> None:
-        """Deletes manifests older than the last few, and shards that no kept version lists. For when no reader is at an older version."""
+        reader = self.spark.newSession()
+        for k, v in {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}.items():
+            reader.conf.set(k, v)
+        merged, gone = [], set()
+        for own in merge_groups(now, target, fanout):
+            made = self._write(reader.read.option("mergeSchema", "true").parquet(*(f"{self.path}/{s.path}" for s in own)), base + 1)
+            if len(made) < len(own):
+                merged += made
+                gone |= {s.path for s in own}
+            else:
+                self._fs.delete(self._path(f"{self.path}/{made[0].path}").getParent(), True)
+        return self.commit([s for s in now if s.path not in gone] + merged, base) if gone else None
+
+    def expire(self, keep: int = KEEP) -> None:
+        """Deletes manifests older than the last few, and shards that no kept version lists. A reader of a kept version is not disturbed."""
         known = self.versions()
         live = {s.path for v in known[-keep:] for s in self.shards(v)}
         dead = {s.path for v in known[:-keep] for s in self.shards(v)} - live
         for v in known[:-keep]:
-            self._fs.delete(self._path(f"{self.path}/manifests/{v:08d}.json"), False)
+            body = self._text(f"{v:08d}.json")
+            for name in (f"{v:08d}.json", body):
+                self._fs.delete(self._path(f"{self.path}/manifests/{name}"), False)
         for p in sorted(dead):
             self._fs.delete(self._path(f"{self.path}/{p}"), False)
 
@@ -143,21 +168,17 @@ def tier(size: int, target: int, ratio: int = RATIO) -> int:
     return 0 if size * ratio > target * (ratio - 1) else 1 + max(0, math.floor(math.log(target / max(1, size), ratio)))
 
 
-def merge_groups(shards: list[Shard], target: int, fanout: int = FANOUT) -> list[Shard]:
-    """The shards to merge now: those of every tier but the finished one that has `fanout` of them, or a target's worth."""
+def merge_groups(shards: list[Shard], target: int, fanout: int = FANOUT) -> list[list[Shard]]:
+    """The runs to merge now, by tier: those of every tier but the finished one that has `fanout` of them, or a target's worth."""
     tiers: dict[int, list[Shard]] = {}
-    for s in shards:
+    for s in sorted(shards, key=lambda s: s.path):
         if t := tier(s.bytes, target):
             tiers.setdefault(t, []).append(s)
-    out = []
-    for own in tiers.values():
-        if len(own) >= fanout or len(own) > 1 and sum(s.bytes for s in own) >= target:
-            out += own
-    return sorted(out, key=lambda s: s.path)
+    return [own for _, own in sorted(tiers.items()) if len(own) >= fanout or len(own) > 1 and sum(s.bytes for s in own) >= target]
 
 
 def shard(docs: DataFrame, path: str, target: int = TARGET, rows: int = ARRIVAL_ROWS, fanout: int = FANOUT) -> tuple[ShardStore, DataFrame]:
-    """Appends all rows, compacts until nothing is left to merge, and returns the store and its rows.
+    """Appends all rows, compacts until nothing is left to merge, and returns the store and its rows. The last KEEP versions stay.
 
     The rows are those of docs, nulls, repeats and extra columns included, with `_shard`, the number of the shard in the final manifest,
     `_shard_bytes` and `_version`; columns of docs with these names are replaced. An empty table commits an empty version.
