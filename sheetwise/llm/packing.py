@@ -26,9 +26,9 @@ _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 class ByteBPE:
     """Ids of the byte-level BPE in a tokenizer file, for whole batches at once.
 
-    Texts are cut into words by array operations, equal words are encoded once, and ids are gathered.
-    Texts with unusual code points, or with a special token's string, go through the tokenizer library
-    itself, so ids are always the library's own.
+    Texts are cut into words by array operations, different words are encoded once, and ids are gathered. Where the
+    file's ids are the order of its merges, a word goes through a rank table, which is faster than the library and gives
+    the same ids. Texts with unusual code points, or with a special token's string, go through the library as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -96,6 +96,16 @@ class ByteBPE:
             return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), counts
         return self._fast(text, cp, begins)
 
+    @staticmethod
+    def _exact(cp: np.ndarray, text: str, words: np.ndarray, ends: np.ndarray, where: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The grouping of words by their marks, if words of one mark are equal throughout; else that by the words themselves."""
+        first, size = words[where][which], ends - words
+        if (size == size[where][which]).all() and (cp[np.arange(len(cp)) + np.repeat(first - words, size)] == cp).all():
+            return where, which
+        turn: dict[str, int] = {}
+        which = np.array([turn.setdefault(text[a:b], len(turn)) for a, b in zip(words.tolist(), ends.tolist())])
+        return np.unique(which, return_index=True)[1], which
+
     def _fast(self, text: str, cp: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size, n = len(cp), len(begins) - 1
         if not size:
@@ -134,15 +144,16 @@ class ByteBPE:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[cp] * self.power[:size])])
         mark = (sums[ends] - sums[words]) * self.inverse[words]
         _, where, which = np.unique(mark, return_index=True, return_inverse=True)
-        known, out = self.known, []
+        where, which = self._exact(cp, text, words, ends, where, which)
+        known = self.known
         if len(known) > KNOWN_WORDS:
             known.clear()
+        out = []
         for a, b in zip(words[where].tolist(), ends[where].tolist()):
             word = text[a:b]
             ids = known.get(word)
             if ids is None:
-                ids = self.encode_word(word)
-                known[word] = ids
+                ids = known[word] = self.encode_word(word)
             out.append(ids)
         lens = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter(chain.from_iterable(out), np.uint32, int(lens.sum()))

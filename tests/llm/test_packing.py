@@ -24,6 +24,36 @@ def test_ids_are_the_librarys(tokenizer_path, texts):
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
 
 
+UNUSUAL = ["привет мир, это тест", "数据处理引擎。", "🤦🏽 🎉🎉", "<|endoftext|>", "\u0250", "ẞ <|endoftext|> да"]
+
+
+@pytest.mark.parametrize("texts", [UNUSUAL[:1], UNUSUAL[1:2], UNUSUAL[2:3], UNUSUAL[3:4], UNUSUAL, [None], [None, None], [""], [], [*UNUSUAL, None, "plain"]])
+def test_slices_of_unusual_texts_only(tokenizer_path, texts):
+    bpe = packing.tokenizer(tokenizer_path)
+    ids, counts = bpe.encode(pa.array(texts, pa.string()))
+    want = [reference(bpe.library, t) for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+
+
+def test_a_long_text_alone(spark, tokenizer_path):
+    plain = " ".join(f"word{i % 977}'s {i}" for i in range(160_000))
+    assert len(plain) > 2_000_000
+    texts = {1: plain, 2: plain[:300_000] + " 🎉", 3: "мир " * 50_000}
+    for some in ({1}, {2}, {3}, {2, 3}):
+        df = spark.createDataFrame([(i, texts[i]) for i in some], "doc_id long, text string")
+        check(packing.pack(df, tokenizer_path).collect(), {i: texts[i] for i in some}, Tokenizer.from_file(tokenizer_path))
+    rows = packing.pack(spark.createDataFrame([(1, None)], "doc_id long, text string"), tokenizer_path).collect()
+    assert [(r.length, r.offset) for r in rows] == [(1, 0)]
+
+
+def test_equal_marks_of_different_words(tokenizer_path):
+    bpe = packing.ByteBPE(tokenizer_path)
+    bpe.value = np.ones_like(bpe.value)  # all words of one length get one mark
+    bpe.power = bpe.inverse = np.ones(1 << 12, np.uint64)
+    text = "one two six ten  the cat's cat\n\n12 345"
+    assert bpe.encode(pa.array([text]))[0].tolist() == reference(bpe.library, text)
+
+
 def test_slices_of_arrays(tokenizer_path):
     bpe = packing.tokenizer(tokenizer_path)
     array = pa.array(["one", "two three", None, "four"])[1:]
