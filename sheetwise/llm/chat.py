@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,27 +22,37 @@ CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</S
 _AHEAD = "|".join(sorted({re.escape(c[1:]) for c in CONTROL}))
 
 
-def _shape(kind: T.DataType) -> str:
-    """Canonical text of nested field paths, without scalar types; keys in code point order."""
+def _shape(kind: T.DataType, empty: bool = False) -> str:
+    """Canonical text of nested field paths, without scalar types; keys in code point order. With empty, that of empty lists."""
     if isinstance(kind, T.StructType):
-        inner = (f.name if (s := _shape(f.dataType)) == "" else f"{f.name}: {s}" for f in sorted(kind.fields, key=lambda f: f.name))
+        inner = (f.name if (s := _shape(f.dataType, empty)) == "" else f"{f.name}: {s}" for f in sorted(kind.fields, key=lambda f: f.name))
         return f"OBJECT<{', '.join(inner)}>"
     if isinstance(kind, T.ArrayType):
-        return f"ARRAY<{_shape(kind.elementType)}>"
+        return _NOTHING if empty else f"ARRAY<{_shape(kind.elementType)}>"
     return ""
 
 
+#: The canonical text of a list without elements.
+_NOTHING = "ARRAY<OBJECT<>>"
+
+
 def fingerprint(schema: T.StructType) -> str:
     """SHA-256 of the canonical paths of a schema."""
     return hashlib.sha256(_shape(schema).encode()).hexdigest()
 
 
+def _paths(value: Column) -> Column:
+    """The canonical text of a variant's nested field paths."""
+    schema = F.regexp_replace(F.schema_of_variant(value), "ARRAY<VOID>", _NOTHING)
+    schema = F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z]+(?:\([0-9, ]*\))?", "")
+    schema = F.regexp_replace(schema, r"ARRAY<(?!OBJECT|ARRAY)[A-Z]+(?:\([0-9, ]*\))?>", "ARRAY<>")
+    return F.regexp_replace(schema, r"^(?!OBJECT|ARRAY)[A-Z]+(?:\([0-9, ]*\))?$", "")
+
+
 def json_fingerprint(raw: Column | str) -> Column:
     """The same hash for each JSON document of a string column; null for what is no JSON object."""
-    schema = F.schema_of_variant(F.try_parse_json(raw))
-    paths = F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z]+(?:\([0-9, ]*\))?", "")
-    paths = F.regexp_replace(paths, r"ARRAY<(?!OBJECT|ARRAY)[A-Z]+(?:\([0-9, ]*\))?>", "ARRAY<>")
-    return F.when(schema.startswith("OBJECT"), F.sha2(paths.cast("binary"), 256))
+    paths = _paths(F.try_parse_json(raw))
+    return F.when(paths.startswith("OBJECT"), F.sha2(paths.cast("binary"), 256))
 
 
 @dataclass(frozen=True)
@@ -60,6 +71,11 @@ class Layout:
     def key(self) -> str:
         return fingerprint(self.schema)
 
+    @property
+    def keys(self) -> tuple[str, str]:
+        """The fingerprints of the layout and of the layout with empty lists."""
+        return self.key, hashlib.sha256(_shape(self.schema, empty=True).encode()).hexdigest()
+
 
 def _pair(user: str, assistant: str) -> str:
     return f"array(struct('user' AS role, {user} AS text), struct('assistant' AS role, {assistant} AS text))"
@@ -90,17 +106,22 @@ def _clean(turns: Column) -> Column:
 def turns_from_json(df: DataFrame, raw: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds `layout` and `turns` for a column of JSON documents of mixed layouts.
 
-    Rows whose fingerprint has no mapping stay, with both null.
+    A document's fingerprint is taken over the fields that a layout names, so further keys beside them do not change the choice;
+    of several layouts that fit, the one with most fields wins. Empty lists give no turns. Rows without a mapping stay, with both null.
     """
-    df = df.withColumn("_key", json_fingerprint(F.col(raw)))
+    df = df.withColumn("_json", F.try_parse_json(F.col(raw)))
+    names = sorted({n for x in layouts for n in x.schema.fieldNames()})
+    df = df.withColumns({f"_at_{n}": F.when(F.schema_of_variant("_json").startswith("OBJECT"), _paths(F.expr(f"try_variant_get(_json, '$.{n}', 'variant')"))) for n in names})
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for x in layouts:
-        at = F.col("_key") == x.key
+    for x in sorted(layouts, key=lambda x: (len(x.schema.fieldNames()), x.name)):
+        own = [F.concat(F.lit(n), F.when(F.col(f"_at_{n}") == "", F.lit("")).otherwise(F.concat(F.lit(": "), F.col(f"_at_{n}")))) for n in sorted(x.schema.fieldNames())]
+        paths = F.concat(F.lit("OBJECT<"), *(c for k, o in enumerate(own) for c in ((F.lit(", "), o) if k else (o,))), F.lit(">"))  # null where a field is missing
+        at = F.sha2(paths.cast("binary"), 256).isin(*x.keys)
         # fields are taken from a struct of the layout's own, so clashing columns of df cannot be meant
         df = df.withColumn(f"_{x.name}", F.when(at, F.from_json(F.col(raw), x.schema)))
         name = F.when(at, x.name).otherwise(name)
         turns = F.when(at, F.expr(x.turns.replace("{p}", f"_{x.name}."))).otherwise(turns)
-    return df.withColumns({"layout": name, "turns": _clean(turns)}).drop("_key", *(f"_{x.name}" for x in layouts))
+    return df.withColumns({"layout": name, "turns": _clean(turns)}).drop("_json", *(f"_at_{n}" for n in names), *(f"_{x.name}" for x in layouts))
 
 
 def turns_from_rows(df: DataFrame) -> DataFrame:
@@ -145,31 +166,54 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _before(lengths: Column) -> Column:
+    """The sum of the elements before each one, by blocks of the square root of their number: n ** 1.5 steps and no growing array."""
+    zero = F.lit(0).cast("long")
+    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
+
+    def by_block(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1), lambda k: F.slice(xs, k * width + 1, width))
+        return _let(blocks, lambda bs: _let(F.transform(bs, total), lambda sums: F.flatten(F.transform(bs, lambda b, k: _let(
+            total(F.slice(sums, F.lit(1), k)), lambda base: F.transform(b, lambda _, i: base + total(F.slice(b, F.lit(1), i))))))))
+
+    return _let(lengths, lambda xs: F.when(F.size(xs) > 0, by_block(xs)).otherwise(xs))
+
+
 def render(df: DataFrame) -> DataFrame:
-    """Adds `formatted` and `loss_spans`, [start, end) of each assistant text in code points, escapes included."""
+    """Adds `formatted` and `loss_spans`: [start, end) of each assistant text in code points, [first, last) in UTF-8 bytes, escapes included.
+
+    Columns of df with these names are replaced. Null turns give null.
+    """
     parts = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["role"]).alias("r"), escape(t["text"]).alias("x")))
+    marks, tail = len(TURN) + len(TEXT), len(END) + 1
     sized = F.transform(
         parts,
         lambda p: F.struct(
             F.concat(F.lit(TURN), p["r"], F.lit(TEXT), p["x"], F.lit(END + "\n")).alias("s"),
             (p["role"] == "assistant").alias("loss"),
-            (F.length(p["r"]) + len(TURN) + len(TEXT)).cast("long").alias("head"),
-            F.length(p["x"]).cast("long").alias("body"),
+            *(size(p[c]).cast("long").alias(f"{c}_{unit}") for c in ("r", "x") for size, unit in ((F.length, "points"), (F.octet_length, "bytes"))),
         ),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)").alias("spans"))
-    walked = F.aggregate(
-        "_parts",
-        start,
-        lambda a, p: F.struct(
-            (a["at"] + p["head"] + p["body"] + len(END) + 1).alias("at"),
-            F.when(
-                p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["head"]).alias("start"), (a["at"] + p["head"] + p["body"]).alias("end"))))
-            ).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
-    return df.withColumn("_parts", sized).withColumns({"formatted": F.array_join(F.transform("_parts", lambda p: p["s"]), ""), "loss_spans": walked}).drop("_parts")
+    whole = lambda unit: F.transform("_parts", lambda p: p[f"r_{unit}"] + p[f"x_{unit}"] + marks + tail)
+    df = df.withColumn("_parts", sized).withColumns({f"_{u}": _before(whole(u)) for u in ("points", "bytes")})
+    each = F.arrays_zip("_parts", "_points", "_bytes")
+
+    def span(z: Column) -> Column:
+        p = z["_parts"]
+        ends = []
+        for unit, a, b in (("points", "start", "end"), ("bytes", "first", "last")):
+            at = z[f"_{unit}"] + p[f"r_{unit}"] + marks
+            ends += [at.alias(a), (at + p[f"x_{unit}"]).alias(b)]
+        return F.struct(*ends)
+
+    spans = F.transform(F.filter(each, lambda z: z["_parts"]["loss"]), span)
+    return df.withColumns({"formatted": F.array_join(F.transform("_parts", lambda p: p["s"]), ""), "loss_spans": spans}).drop("_parts", "_points", "_bytes")
 
 
 def parse(formatted: Column) -> Column:
@@ -185,5 +229,6 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    """All text under the loss mask, unescaped, in order, with nothing between. Bytes are sliced, so a span costs its own length only."""
+    cut = lambda raw: F.transform(spans, lambda s: unescape(F.substr(raw, (s["first"] + 1).cast("int"), (s["last"] - s["first"]).cast("int")).cast("string")))
+    return _let(formatted.cast("binary"), lambda raw: F.array_join(cut(raw), ""))

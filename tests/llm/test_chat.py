@@ -53,6 +53,32 @@ def test_mixed_json_layouts(spark):
     assert all(got[i] == (None, None) for i in range(7, 11))
 
 
+def test_further_keys_and_empty_lists(spark):
+    docs = [
+        {"messages": []}, {"messages": [], "id": 7}, {"conversations": []}, {"id": 1, "messages": [{"role": "user", "content": "hi"}]},
+        {"prompt": "hi", "completion": "yo", "meta": {"a": [1]}}, {"instruction": "do", "output": "done", "input": "", "id": "x"},
+        {"prompt": "p", "response": "r", "system": "s", "z": None}, {"messages": ["a"]}, {"messages": {"role": "x"}}, {"id": 3},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, raw string")
+    got = {r.i: (r.layout, r.turns if r.turns is None else [tuple(t) for t in r.turns]) for r in chat.render(chat.to_turns(df, "raw")).collect()}
+    assert [got[i][1] for i in range(3)] == [[], [], []] and got[2][0] == "from_value"
+    assert got[3] == ("messages", [("user", "hi")])
+    assert got[4] == ("prompt_completion", [("user", "hi"), ("assistant", "yo")])
+    assert got[5] == ("instruction_input", [("user", "do"), ("assistant", "done")])
+    assert got[6] == ("system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")])
+    assert all(got[i] == (None, None) for i in (7, 8, 9))
+
+
+def test_many_turns(spark):
+    """Spans by prefix sums; a conversation of many turns takes little more than its length."""
+    n = 6000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 1, 'assistant', 'user') AS role", "concat('é日🤦<s>', id) AS text")
+    r = chat.render(chat.to_turns(df)).select("formatted", "loss_spans", chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert r.loss == "".join(f"é日🤦<s>{i}" for i in range(n) if i % 3 == 1)
+    raw = r.formatted.encode()
+    assert all(r.formatted[s.start : s.end] == raw[s.first : s.last].decode() and s.end - s.start >= 8 for s in r.loss_spans) and len(r.loss_spans) == n // 3
+
+
 def test_fingerprint_ignores_types_and_order(spark):
     a = spark.createDataFrame([], "prompt string, completion string").schema
     b = spark.createDataFrame([], "completion int, prompt string").schema
