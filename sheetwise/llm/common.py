@@ -137,23 +137,48 @@ def uniform(*parts: Column | str, seed: str = "") -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """The same rows, where rows of one key, neighbours in a sorted partition, are never parted. For keys with few rows each."""
+def sample_rows(rows: DataFrame, n: int, budget: int, seed: str, ids: DataFrame | None = None) -> list[dict]:
+    """A sample of whole rows for fitting, in the order of a draw by doc_id: n rows and `budget` bytes of text at most.
+
+    rows has doc_id and text; with `ids`, a frame of one column, only rows with one of its n smallest draws count. Repeated rows
+    count once. Rows are taken in order as long as they fit, none in part, so only a text longer than the whole budget has no
+    chance. Sizes are compared before any text is fetched, and no text is shuffled but those taken.
+    """
+    keyed = rows.withColumns({"_key": F.xxhash64("doc_id", "text"), "_draw": uniform("doc_id", seed=seed)})
+    if ids is not None:
+        some = ids.toDF("_id").where("_id IS NOT NULL").distinct()
+        some = some.orderBy(uniform("_id", seed=seed), "_id").limit(n).collect()  # n ids
+        keyed = keyed.join(F.broadcast(rows.sparkSession.createDataFrame(some, ids.toDF("_id").schema)), F.col("doc_id") == F.col("_id"), "left_semi")
+    light = keyed.select("_draw", "_key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("_bytes")).distinct()
+    chosen, used = [], 0
+    for r in light.orderBy("_draw", "_key").limit(n).collect():
+        if used + r["_bytes"] <= budget:
+            used += r["_bytes"]
+            chosen.append((r["_key"],))
+    wanted = rows.sparkSession.createDataFrame(chosen, "_key long")  # n keys
+    found = keyed.join(F.broadcast(wanted), "_key").groupBy("_key").agg(*(F.first(c).alias(c) for c in ("_draw", *rows.columns)))
+    return sorted(found.toArrow().to_pylist(), key=lambda r: (r["_draw"], r["_key"]))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many, where rows of one key, neighbours in a sorted partition, are never parted. For keys with few rows each."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key)
-        last = keys[-1]
-        if keys[0] == last:
-            if held and held[0].column(key)[-1] != last:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held = []
-            held.append(batch)
-            continue
-        values = keys.to_numpy(zero_copy_only=False)
-        at = int(np.flatnonzero(values != values[-1])[-1]) + 1
-        yield from pa.Table.from_batches([*held, batch.slice(0, at)]).combine_chunks().to_batches()
-        held = [batch.slice(at)]
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        held.append(batch)
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        keys = whole.column(key).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        at = 0
+        while at < len(keys):
+            end = starts[np.searchsorted(starts, at + rows) - 1] if len(starts) and starts[0] <= at + rows else -1
+            if end <= at:  # one key has more rows
+                later = starts[starts > at]
+                end = later[0] if len(later) else -1
+            if end < 0 or end > starts[-1]:
+                break
+            yield whole.slice(at, end - at)
+            at = int(end)
+        held = [whole.slice(at)]
+    yield from held

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, uniform
+from .common import pieces, sample_rows
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Bound of the sample that the field is fitted on: so many documents that hold a digit or an @.
-SAMPLE_DOCS = 2000
+#: Bounds of the sample that the field is fitted on: so many documents that hold a digit or an @, and bytes of their whole texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 8 << 20
 #: An added span's least marginal probability.
 SURE = 0.9
 #: Prior log weight of equal labels on a skip link, for kinds that never repeat in the sample.
@@ -269,32 +269,10 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field, sure: f
     return out
 
 
-def fit(docs: DataFrame, n: int = SAMPLE_DOCS) -> Field:
-    """The field, fitted on at most n documents with a digit or an @: the smallest draws of a hash of doc_id."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.col("doc_id").alias("id"), uniform("doc_id", seed="pii").alias("u"), F.col("text").alias("text"))
-    near = some.select("id", "u").orderBy("u", "id").limit(n)
-    chosen = some.join(F.broadcast(near.select(F.col("id").alias("_id"))), F.col("id").eqNullSafe(F.col("_id"))).select("u", "id", "text")  # n ids
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [_near_tokens(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.array(texts, pa.string())], ["u", "text"])
-
-    rows = chosen.mapInArrow(windows, "u double, text string").toArrow().to_pylist()
-    return train([r["text"] for r in sorted(rows, key=lambda r: (r["u"], r["text"]))][:n])
-
-
-def _near_tokens(text: str, limit: int = 16_000) -> str:
-    """Up to so many characters around the tokens, for fitting only; words further away carry no feature."""
-    parts, end, size = [], 0, 0
-    for m in _tokens(text):
-        a, b = max(end, m.start() - 60), min(len(text), m.end() + 60)
-        if a < b:
-            parts.append(text[a:b])
-            size, end = size + b - a, b
-        if size > limit:
-            break
-    return "".join(parts)
+def fit(docs: DataFrame, n: int = SAMPLE_DOCS, budget: int = SAMPLE_BYTES) -> Field:
+    """The field, fitted on whole texts of at most n documents with a digit or an @: the smallest draws of a hash of doc_id, `budget` bytes at most."""
+    some = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    return train([r["text"] for r in sample_rows(some, n, budget, "pii")])
 
 
 def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), redact: bool = False) -> DataFrame:

@@ -11,10 +11,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, uniform
+from .common import pieces, sample_rows
 
-#: Bounds of what a model is fitted on: documents of each class, and excerpts of each document.
-SAMPLE_DOCS, SAMPLE_EXCERPTS, EXCERPT = 5000, 8, 512
+#: Bounds of the sample of labelled rows that a model is fitted on, for each class: rows, and bytes of their whole texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 5000, 16 << 20
 DICT_BYTES, CHUNK, LEVEL = 400 << 10, 512, 3
 THRESHOLD = 0.7
 
@@ -42,8 +42,7 @@ class CompressedSizes:
     def difference(self, text: bytes) -> float:
         """(bad - good) / the larger, over all chunks of the whole text; positive is closer to good. 0 for an empty text."""
         g = b = 0
-        for at in range(0, len(text), CHUNK):
-            part = text[at : at + CHUNK]
+        for part in chunks(text):
             g += len(self.good.compress(part))
             b += len(self.bad.compress(part))
         return (b - g) / max(b, g) if g else 0.0
@@ -63,53 +62,35 @@ def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b"".join(texts)[:size] or b"no text"
 
 
-def excerpts(text: bytes, n: int = SAMPLE_EXCERPTS, size: int = EXCERPT) -> list[bytes]:
-    """Up to n excerpts, spread evenly over the text."""
-    count = max(1, -(-len(text) // size))
-    return [text[i * size : (i + 1) * size] for i in sorted({round(k * (count - 1) / max(1, n - 1)) for k in range(n)})]
+def chunks(text: bytes) -> list[bytes]:
+    return [text[at : at + CHUNK] for at in range(0, len(text), CHUNK)]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list[tuple[int, bytes, float]]:
-    """(label, joined excerpts, draw) of a bounded sample; ids are chosen before any text is read."""
-    ids = []
-    for q in (0, 1):
-        own = labels.where(F.col("quality") == q).select("doc_id").distinct().withColumn("draw", uniform("doc_id", seed="quality"))
-        ids.append(own.orderBy("draw", "doc_id").limit(per_class).withColumn("label", F.lit(q)))
-    chosen = F.broadcast(ids[0].union(ids[1]))  # at most 2 * per_class ids
-    n, size = SAMPLE_EXCERPTS, EXCERPT
-
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                texts = [b"\x00".join(excerpts((t or "").encode(), n, size)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(texts, pa.binary()), part.column("draw")], ["label", "text", "draw"])
-
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text", "draw").mapInArrow(shorten, "label int, text binary, draw double")
-    return sorted(tuple(r) for r in found.toArrow().to_pandas().itertuples(index=False))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, budget: int = SAMPLE_BYTES) -> Model:
     """Learns both dictionaries and the calibration from labelled documents.
 
     labels has doc_id and quality (0 or 1; null is ignored). The sample is bounded: per_class documents
-    of each class, the smallest draws of a hash of doc_id. Two thirds make the dictionaries; the others,
-    which no dictionary has seen, fit the logistic curve, weighted to the classes' true shares.
+    of each class and `budget` bytes, the smallest draws of a hash of doc_id, with their whole texts. Two thirds make the dictionaries; the others,
+    which no dictionary has seen, fit the logistic curve on whole texts as they are scored, weighted to the classes' true shares.
     Without both classes the score is 1 for everything, so that nothing is rejected unlearned.
     """
     totals = {int(r["quality"]): int(r["count"]) for r in labels.where("quality IN (0, 1)").groupBy("quality").count().collect()}
-    rows = [(int(q), bytes(t), float(u)) for q, t, u in _sample(docs, labels, per_class)]
-    split = {q: [t for i, (_, t, _) in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (r[2], r[1]))) if i % 3 != 2] for q in (0, 1)}
-    rest = [(q, t) for q in (0, 1) for i, (_, t, _) in enumerate(sorted((r for r in rows if r[0] == q), key=lambda r: (r[2], r[1]))) if i % 3 == 2]
+    split: dict[int, list[bytes]] = {}
+    rest: list[tuple[int, bytes]] = []
+    for q in (0, 1):
+        rows = sample_rows(docs.select("doc_id", "text"), per_class, budget, "quality", labels.where(F.col("quality") == q).select("doc_id"))
+        texts = [(r["text"] or "").encode() for r in rows]
+        split[q] = [t for i, t in enumerate(texts) if i % 3 != 2]
+        rest += [(q, t) for i, t in enumerate(texts) if i % 3 == 2]
     if not split[0] or not split[1] or len({q for q, _ in rest}) < 2:
         return Model(b"no text", b"no text", 0.0, 40.0)
-    parts = {q: [p for t in split[q] for p in t.split(b"\x00") if p] for q in (0, 1)}
-    model = Model(build_dictionary(parts[1]), build_dictionary(parts[0]), 0.0, 0.0)
-    sizes = model.sizes()
-    x = np.array([sizes.difference(t.replace(b"\x00", b"")) for _, t in rest])
+    good, bad = (build_dictionary([c for t in split[q] for c in chunks(t)]) for q in (1, 0))
+    sizes = CompressedSizes(good, bad)
+    x = np.array([sizes.difference(t) for _, t in rest])
     y = np.array([q for q, _ in rest], float)
     weight = np.where(y == 1, totals.get(1, 1) / max(1, (y == 1).sum()), totals.get(0, 1) / max(1, (y == 0).sum()))
     slope, bias = _logistic(x, y, weight / weight.mean())
-    return Model(model.good, model.bad, slope, bias)
+    return Model(good, bad, slope, bias)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -152,7 +133,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fits on the labels that are not held out and scores all of docs: `held_out`, `score` and `predicted` are added.
 
-    A null doc_id is not held out and has no label. Empty tables give no rows.
+    A null doc_id is not held out and has no label. Columns of docs with these three names are replaced. Empty tables give no rows.
     """
     model = fit(docs, labels.where(~held_out()))
     out = score(docs, model)
