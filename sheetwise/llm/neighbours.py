@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from .common import cut, drop, uniform, whole_groups
 from .vectors import matrix
 
-#: Neighbours of a node, starting groupings and the size of their groups.
-DEGREE, TREES, LEAF = 24, 8, 2048
+#: Neighbours of a node, starting groupings and the size of their groups. The groups are small, so that the descent does the work.
+DEGREE, TREES, LEAF = 48, 8, 64
 #: Vectors that the groupings' thresholds are taken from. Every vector is indexed.
 SAMPLE = 4096
-#: Most rounds of the descent and of a search; both end earlier when little changes.
-DESCENTS, HOPS = 3, 4
-#: Nodes that a search keeps, and those that are scored exactly at its end.
-BEAM, FINAL = 48, 48
+#: The descent ends with the first round that changes less than this share of the graph.
+CHANGE = 0.02
+#: Nodes that a search keeps. It ends when all of them are open; those are scored exactly.
+BEAM = 32
 
 _GRAPH = "node long, ids array<long>, sims array<double>"
 
@@ -166,13 +166,15 @@ def merge(lists: DataFrame, k: int = DEGREE) -> DataFrame:
 def _descend(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
     """Candidate lists from one round: at each node its neighbours, and as many nodes it is a neighbour of, meet each other.
 
-    A pair is passed on to a member whose worst neighbour it beats.
+    A pair is passed on to a member whose worst neighbour it beats. A hub, which is in very many lists, is a popular key of a
+    join of two plain tables, which can be split; of the nodes that it is a neighbour of, each task passes on DEGREE at most.
     """
     forward = graph.select(F.col("node").alias("at"), F.explode("ids").alias("node"))
     turn = Window.partitionBy("at").orderBy(F.xxhash64("node", "at"))
     back = forward.select(F.col("node").alias("at"), F.col("at").alias("node")).withColumn("r", F.row_number().over(turn)).where(f"r <= {DEGREE}").select("at", "node")
     worst = graph.select("node", F.when(F.size("ids") >= DEGREE, F.array_min("sims")).otherwise(F.lit(float("-inf"))).alias("worst"))
-    members = forward.union(back).distinct().join(codes.join(worst, "node"), "node").select("at", "node", "worst", "code")
+    state = cut(codes.join(worst, "node"))
+    members = forward.union(back).distinct().join(state, "node").select("at", "node", "worst", "code")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_groups(batches, "at"):
@@ -199,31 +201,37 @@ def _descend(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
     return members.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _GRAPH)
 
 
-def build(points: DataFrame, kind: str) -> DataFrame:
-    """The neighbour graph (node, ids, sims), improved by joins of neighbours of neighbours until under 1 % of it changes."""
+def build(points: DataFrame, kind: str, watch: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The neighbour graph (node, ids, sims), improved by joins of neighbours of neighbours until little of it changes.
+
+    Lists only get better, so this ends. `watch` is called with the graph before the first round and after each.
+    """
     codes = points.select("node", "code")
     graph = cut(_start(points, kind))
-    for _ in range(DESCENTS):
+    while True:
+        if watch:
+            watch(graph)
         after = cut(merge(graph.union(_descend(graph, codes, kind))))
         old = graph.select(F.col("node").alias("_n"), F.col("ids").alias("old"))
         change = after.join(old, F.col("node") == F.col("_n")).agg(F.sum(F.size(F.array_except("ids", "old"))), F.sum(F.size("ids"))).first()
         drop(graph)
         graph = after
-        if not change[1] or change[0] < 0.01 * change[1]:
-            break
-    return graph
+        if not change[1] or change[0] < CHANGE * change[1]:
+            if watch:
+                watch(graph)
+            return graph
 
 
 def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str) -> DataFrame:
     """(query, ids, sims): greedy search from each query's own node, `starts` (query, code).
 
-    Each hop opens the best nodes of a query's pool that are not open yet and scores their neighbours. A query
-    ends when its BEAM best nodes are all open.
+    Each hop opens those of a query's BEAM best nodes that are not open yet and scores their neighbours. The search ends when
+    all queries' BEAM best nodes are open; pools only get better, so it does.
     """
     links = graph.select("node", "ids")
     none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() AS array<{kind}>)")).alias(c)
     pool = cut(starts.join(graph, F.col("query") == F.col("node"), "left").select("query", none("ids", "long"), none("sims", "double"), F.expr("cast(array(query) AS array<long>)").alias("open")))
-    for _ in range(HOPS):
+    while True:
         front = pool.select("query", F.explode(F.array_except(F.slice("ids", 1, BEAM), "open")).alias("node"))
         seen = front.join(links, "node").select("query", F.explode("ids").alias("node")).distinct().where("query <> node")
         rows = (
@@ -261,10 +269,8 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str) ->
         after = cut(rows.repartition("query").sortWithinPartitions("query", "kind").mapInArrow(hop, "query long, ids array<long>, sims array<double>, open array<long>"))
         drop(pool)
         pool = after
-        moving = pool.where(F.size(F.array_except(F.slice("ids", 1, BEAM // 2), "open")) > 0).limit(1).count()
-        if not moving:
-            break
-    return pool
+        if not pool.where(F.size(F.array_except(F.slice("ids", 1, BEAM), "open")) > 0).limit(1).count():
+            return pool
 
 
 def _no_lists() -> list:
@@ -289,7 +295,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     codes = points.select("node", "code")
     starts = cut(asked.join(codes, F.col("query") == F.col("node")).select("query", "code"))
     found = search(starts, graph, codes, kind)
-    pairs = found.select("query", F.explode(F.slice("ids", 1, FINAL)).alias("node")).union(starts.select("query", F.col("query").alias("node")))
+    pairs = found.select("query", F.explode(F.slice("ids", 1, 2 * BEAM)).alias("node")).union(starts.select("query", F.col("query").alias("node")))
     body = points.select("node", "vector")
     pairs = pairs.join(body, "node").join(body.select(F.col("node").alias("query"), F.col("vector").alias("of")), "query")
 

@@ -46,8 +46,30 @@ def test_small_table_is_exact(spark, sf):
     assert all(abs(a - b) < 1e-9 for q in got for (_, a), (_, b) in zip(got[q], want[q]))
 
 
-def test_recall_beyond_one_group(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF", 128)
+def test_the_descent_raises_recall(spark, monkeypatch):
+    """The start's small groups hold few neighbours; the joins of neighbours of neighbours find the others."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    _, points = neighbours.nodes(df)
+    body = {r.node: np.frombuffer(r.vector) for r in points.collect()}
+    ids = np.array(sorted(body))
+    x = np.array([body[i] for i in ids])
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    floor = dict(zip(ids.tolist(), np.sort(s, 1)[:, -20]))
+    seen = []
+
+    def watch(graph):
+        seen.append(np.mean([sum(v >= floor[r.node] - 1e-9 for v in r.sims[:20]) / 20 for r in graph.collect()]))
+
+    neighbours.build(points, neighbours._kind(df), watch)
+    print("recall by round", seen)
+    assert seen[0] < 0.6 and seen[-1] >= 0.9 and sorted(seen) == seen
+    got = found(neighbours.nearest(df))
+    assert recall(got, brute(rows)) >= 0.95
+
+
+def test_vectors_of_different_norms(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((3000, 32)) * rng.uniform(0.5, 1.5, (3000, 1))
     x[100:400] = x[100] + 0.05 * rng.standard_normal((300, 32))
@@ -56,6 +78,14 @@ def test_recall_beyond_one_group(spark, monkeypatch):
     assert recall(got, brute(rows)) >= 0.9
 
 
+def test_clashing_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, np.float32(rng.standard_normal(5000)).tolist()) for i in range(60)]
+    df = spark.createDataFrame([(*r, 1, "a", 2) for r in rows], "vec_id long, embedding array<float>, node int, code string, query int")
+    got = found(neighbours.nearest(df))
+    assert recall(got, brute(rows)) == 1
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (20, [1.0, 0.0])] + [(40 + i, [2.0, 1.0]) for i in range(40)]
     got = found(neighbours.nearest(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)))

@@ -57,3 +57,11 @@ def test_empty_and_repeated(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     got = vectors.near_duplicates(spark.createDataFrame([(7, [1.0, 2.0], 1), (7, [1.0, 2.0], 1), (3, [2.0, 4.0], 1)], SCHEMA))
     assert sorted(map(tuple, got.collect())) == [(3, 2, 3, True), (7, 2, 3, False), (7, 2, 3, False)]
+
+
+def test_clashing_columns_and_long_vectors(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((4, 4000))
+    rows = [(i, np.float32(base[i % 4] + 0.1 * rng.standard_normal(4000) * (i > 3)).tolist(), 1) for i in range(16)]
+    df = spark.createDataFrame([(*r, 5, "x", 2) for r in rows], SCHEMA + ", cid int, cell string, weight int")
+    assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == brute(rows)
