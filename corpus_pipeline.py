@@ -22,12 +22,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similar shingles, the document with the smallest doc_id; a repeated row of it goes too."""
-    groups = jaccard.similar(docs)
-    # documents without shingles are groups of their own
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    """Of each group of rows linked by similar shingles, one row: that with the smallest doc_id, null last.
+
+    Rows are told apart by a number of their own, so of two different texts under one doc_id both stay, a repeated row goes, and a
+    null doc_id is compared like any other. Rows without words link with nothing, and all stay.
+    """
+    rows = cut(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard.similar(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    kept = rows.select("doc_id", "_row").join(groups, F.col("_row") == F.col("_of")).groupBy("component_id").agg(first.alias("first"))
+    return rows.join(kept.select(F.col("first._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
