@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but space and the controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,17 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after Arrow batches were brought to BATCH_ROWS rows where the session has Spark's default of 10000.
+
+    Rows hold whole texts or vectors here, and a batch is held several times over between the JVM and a Python worker.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about so many bytes of text at most, one row at least."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

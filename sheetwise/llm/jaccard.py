@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, cut, drop, pieces, text_buffer
+from .common import bucketed, components, cut, drop, pieces, small_batches, text_buffer
 
 WORDS = 5
 #: 3/4 as integers: two sets link when NUM * union <= DEN * intersection.
@@ -48,12 +48,17 @@ _PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = 0xD1342543DE82EF95
 
 
+#: Powers that a worker keeps.
+KEPT = 3 << 20
+
+
 class _Powers:
     power = inverse = np.ones(1, np.uint64)
 
     @classmethod
     def upto(cls, n: int) -> None:
-        if len(cls.power) < n:
+        """Powers for texts up to n bytes; those of an unusually long one go with the next shorter."""
+        if len(cls.power) > KEPT >= n or len(cls.power) < n:
             for name, x in (("power", _BASE), ("inverse", pow(_BASE, -1, 1 << 64))):
                 steps = np.full(n, x, np.uint64)
                 steps[0] = 1
@@ -418,7 +423,7 @@ def similar(docs: DataFrame) -> DataFrame:
     components is missed. Null and empty texts have no shingles and link with nothing; rows with a repeated doc_id share
     a result if their sets are linked. Other columns are not read. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = small_batches(docs).select("doc_id", "text")
     surveyed = cut(_survey(docs))
     owned = surveyed.where("block IS NULL")
     classes = _frequency_classes(surveyed)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, uniform, whole_groups
+from .common import cut, drop, small_batches, uniform, whole_groups
 from .vectors import matrix
 
 #: Neighbours of a node, starting groupings and the size of their groups. The groups are small, so that the descent does the work.
@@ -52,7 +52,7 @@ def nodes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
                 ["vec_id", "node", "dims", "code", "vector", "norm"],
             )
 
-    made = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, node long, dims int, code binary, vector binary, norm double")
+    made = small_batches(vectors).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, node long, dims int, code binary, vector binary, norm double")
     made = cut(made.where("node IS NOT NULL"))
     one = made.groupBy("node").agg(*(F.first(c).alias(c) for c in ("dims", "code", "vector", "norm")), (F.min("vector") != F.max("vector")).alias("clash"))
     one = cut(one)

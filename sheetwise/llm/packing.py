@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, pieces, text_buffer
+from .common import cut, pieces, small_batches, text_buffer
 
 CAPACITY, SEPARATOR = 1024, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words kept in a worker's memory; the table is emptied when it is full.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 #: Code points whose classes are the same in every Unicode version of the last twenty years.
 PLAIN = 0x0250
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
@@ -213,7 +213,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator:
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

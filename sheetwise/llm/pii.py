@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sample_rows
+from .common import pieces, sample_rows, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -312,7 +312,7 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), red
                     cols.append(pa.array([t if v.is_valid else None for t, v in zip(texts, part.column("_text"))], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:

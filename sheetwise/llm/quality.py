@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sample_rows
+from .common import pieces, sample_rows, small_batches
 
 #: Bounds of the sample of labelled rows that a model is fitted on, for each class: rows, and bytes of their whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 5000, 16 << 20
@@ -123,7 +123,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.array([sizes.difference(t.as_buffer().to_pybytes()) if t.is_valid else 0.0 for t in part.column("text").cast(pa.binary())])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.probability(x))], [*names, "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return small_batches(docs).select(*names).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, small_batches
 
 BLOCK_DIMS = 8
 #: Rows of one side that meet in a call; fuller cells are split.
@@ -58,7 +58,7 @@ def keyed(vectors: DataFrame) -> DataFrame:
                 ["vec_id", "label", "cid", "mark", "dims", "vector"],
             )
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(
+    return small_batches(vectors).select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(
         run, "vec_id long, label long, cid long, mark long, dims int, vector binary"
     )
 
