@@ -35,6 +35,47 @@ def review_rules(reviews: DataFrame, mappings: DataFrame, files: DataFrame, sour
     ])
 
 
+def render_rules(images: DataFrame, renders: DataFrame, tasks: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Violations of RV8: an image's render receipt must be native and name the image's hash and that of the drawing it shows.
+
+    images: (job_id, name, role source or candidate, sha256); renders: (job_id, name, drawingSha256, pngSha256, native), name that
+    of the image; candidates: (job_id, candidateSha256).
+    """
+    got = images.join(renders.withColumn("there", F.lit(1)), ["job_id", "name"], "left").join(tasks.select("job_id", "sourceSha256"), "job_id", "left").join(candidates, "job_id", "left")
+    drawing = F.when(F.col("role") == "source", F.col("sourceSha256")).otherwise(F.col("candidateSha256"))
+    return union([broken(got, 8, "RV8", (F.col("there") == 1) & F.col("native") & (F.col("pngSha256") == F.col("sha256")) & (F.col("drawingSha256") == drawing), F.concat_ws(" ", "role", "name"), "image is not bound to its drawing")])
+
+
+# The documents that a verification binds by hash, and the field of each.
+BOUND = {"mapping.json": "mappingSha256", "saved/extracted.json": "savedSnapshotSha256", "visual-review.json": "visualReviewSha256", "write-status.json": "writeStatusSha256"}
+
+
+def verification(tasks: DataFrame, candidates: DataFrame, reviews: DataFrame, files: DataFrame, violations: DataFrame) -> DataFrame:
+    """One record for each job without a violation: status, hashes of source, candidate and the bound documents, sheets and warnings.
+
+    files: (job_id, name, sha256), names relative to the job's folder.
+    """
+    hashes = files.groupBy("job_id").agg(*(F.max(F.when(F.col("name") == n, F.col("sha256"))).alias(c) for n, c in BOUND.items()))
+    sound = tasks.join(violations.select("job_id").distinct(), "job_id", "left_anti").join(candidates, "job_id").join(hashes, "job_id")
+    sound = sound.join(reviews.select("job_id", F.transform("sheets", lambda x: x["id"]).alias("reviewedSheetIds"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings")), "job_id")
+    return sound.select("job_id", F.lit("verified").alias("status"), "mode", "sourceSha256", "candidateSha256", "reviewedSheetIds", "warnings", *BOUND.values())
+
+
+def delivery_rules(verified: DataFrame, files: DataFrame, sources: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """Violations of FN7: a delivery needs a verified record whose hashes are still those of the candidate, the source, the bound documents and the final copy.
+
+    files: (job_id, name, sha256) with candidate.dwg; sources and copies: (job_id, sha256).
+    """
+    now = files.groupBy("job_id").agg(*(F.max(F.when(F.col("name") == n, F.col("sha256"))).alias(f"now_{c}") for n, c in (*BOUND.items(), ("candidate.dwg", "candidateSha256"))))
+    seen = verified.join(now, "job_id", "left").join(sources.select("job_id", F.col("sha256").alias("now_sourceSha256")), "job_id", "left")
+    rules = [broken(seen, 7, "FN7", F.col("status") == "verified", "job_id", "not verified")]
+    rules += [broken(seen, 7, "FN7", F.col(c) == F.col(f"now_{c}"), "job_id", f"{c} changed") for c in ("candidateSha256", "sourceSha256", *BOUND.values())]
+    if copies is not None:
+        final = verified.select("job_id", "candidateSha256").join(copies, "job_id", "left")
+        rules.append(broken(final, 7, "FN7", F.col("sha256") == F.col("candidateSha256"), "job_id", "final copy"))
+    return union(rules)
+
+
 def final_rules(tasks: DataFrame, mappings: DataFrame, receipts: DataFrame, saved: DataFrame, files: DataFrame) -> DataFrame:
     """Violations that forbid a delivery: source, candidate and saved hashes, mode, languages, receipt and sheets."""
     pick = lambda df, s, *cols: df.select("job_id", *(F.col(c).alias(f"{s}_{c}") for c in cols))

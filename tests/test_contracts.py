@@ -194,7 +194,7 @@ CHANGES = [
     ("GD8", lambda v: v["geometry"].pop()),
     ("GD10", lambda v: v["geometry"][0].update(layer="other")),
     ("GD14", lambda v: v["instances"][0].update(matrix=[2.0, 0.0])),
-    ("SC8", lambda v: v["styles"][0].update(font="b.shx")),
+    (None, lambda v: v["styles"][0].update(font="b.shx")),
     ("SC1", lambda v: v["rows"][1].update(raw="P-102")),
     ("SC4", lambda v: v["rows"][0].update(raw="Valve")),
     ("SC26", lambda v: v["rows"].append({**v["rows"][0], "handle": "FF"})),
@@ -255,7 +255,7 @@ def test_references_and_looks(spark, tmp_path):
         x = snapshot()
         x["blocks"][0]["references"] = [{"handle": "R1", "child": "*U3", "scale": [1, 1.0], "box": [0, 0, 1, 1]}]
         for r in x["rows"]:
-            r.update(bigFont="", width=0.0, alignmentPoint=[0, 0, 0], widthFactor=1.0)
+            r.update(font="a.shx", bigFont="", width=0.0, alignmentPoint=[0, 0, 0], widthFactor=1.0)
         return x
 
     def link(**k):
@@ -265,7 +265,7 @@ def test_references_and_looks(spark, tmp_path):
         return lambda x: x["rows"][0].update(k)
 
     cases = [(None, link(box=[0, 0, 2, 2])), (None, link(scale=[1.0, 1])), ("GD7", link(scale=[1, 2.0])), ("GD7", link(child="Model")), ("GD3", link(child="gone")), ("GD7", lambda x: x["blocks"][0]["references"].clear())]
-    cases += [("GD3", lambda x: x["blocks"][0]["references"].append(x["blocks"][0]["references"][0])), ("SC2", look(width=3.0)), ("SC2", look(bigFont="b")), ("SC2", look(widthFactor=0.8)), ("SC2", look(alignmentPoint=None)), ("SC2", look(block="*U3"))]
+    cases += [("GD3", lambda x: x["blocks"][0]["references"].append(x["blocks"][0]["references"][0])), ("SC3", look(width=3.0)), ("SC3", look(bigFont="b")), ("SC3", look(widthFactor=0.8)), ("SC2", look(alignmentPoint=None)), ("SC3", look(block="*U3"))]
     for i, (_, change) in enumerate(cases):
         saved = full()
         change(saved)
@@ -276,4 +276,157 @@ def test_references_and_looks(spark, tmp_path):
     for x in [*diff.geometry_diff(s, v, m).collect(), *diff.content_diff(s, m, v, r).collect()]:
         got.setdefault(x.job_id, set()).add(x.rule)
     have = [got.get(f"case{i:02d}", set()) for i in range(len(cases))]
-    assert all(rule in h if rule else not h & {"GD3", "GD7", "SC2"} for (rule, _), h in zip(cases, have)), have
+    assert all(rule in h if rule else not h & {"GD3", "GD7", "SC2", "SC3"} for (rule, _), h in zip(cases, have)), have
+
+
+def generated(mode, change=lambda m, v, r: None):
+    """A job with an addition, or with a joined text, and its saved snapshot and receipt."""
+    s = snapshot()
+    for x in s["rows"]:
+        x.update(font="a.shx", bigFont="", width=0.0, alignmentPoint=[0, 0, 0], widthFactor=1.0)
+    v = copy.deepcopy(s)
+    new = {**v["rows"][0], "handle": "F1", "raw": "Added", "position": [20, 20, 0], "box": [20, 20, 30, 22], "worldBoxes": [{"root": "Model", "instancePath": ["B1"], "box": [20, 20, 30, 22]}]}
+    if mode == "bilingual":
+        m = bilingual()
+        m["additions"] = [{"id": "a1", "sourceKeys": [["1a", "text"]], "block": "Model", "target": "Added", "placement": {"region": [15, 15, 40, 30], "minReadableHeight": 2.0}}]
+        r = {"schemaVersion": 1, "additions": [{"id": "a1", "handle": "f1", "slot": "text"}], "reflows": []}
+    else:
+        m = mapping()
+        m["edits"][0].update(action="reflow-member", reflowGroup="g1")
+        m["reflows"] = [{"group": "g1", "sourceHandles": ["1A"], "block": "Model", "target": "Added", "minReadableHeight": 2.0, "layoutPlan": {"region": [15, 15, 40, 30], "checkTextOverlap": True}}]
+        v["rows"].pop(0)
+        v["rows"][1]["raw"] = "y"
+        r = {"schemaVersion": 1, "additions": [], "reflows": [{"group": "g1", "handle": "f1"}]}
+    v["rows"].append(new)
+    v["blocks"][0]["entities"] = 6 if mode == "bilingual" else 5
+    change(m, v, r)
+    return s, m, v, r
+
+
+def other(**k):
+    """Another text near the new one, which the source has as well."""
+    return {"handle": "EE", "kind": "TEXT", "slot": "text", "raw": "near", "block": "Model", "height": 2.0, "rotation": 0, "box": [28, 21, 35, 23], "position": [28, 21, 0], "worldBoxes": [{"root": "Model", "instancePath": [], "box": [28, 21, 35, 23]}], **k}
+
+
+def with_other(**k):
+    return lambda m, v, r: (v["rows"].append(other(**k)), m["edits"].append(edit("EE", "near", "replace", target="near")))
+
+
+FAR = [{"root": "Model", "instancePath": [], "box": [90, 90, 95, 92]}]
+GENERATED = [
+    ("bilingual", None, lambda m, v, r: None), ("replace", None, lambda m, v, r: None),
+    ("bilingual", "SC10", lambda m, v, r: r["additions"].clear()), ("bilingual", "SC10", lambda m, v, r: r["additions"].append(r["additions"][0])),
+    ("replace", "SC17", lambda m, v, r: r["reflows"].clear()), ("replace", "SC17", lambda m, v, r: r["reflows"].append({"group": "g2", "handle": "F1"})),
+    ("bilingual", "SC11", lambda m, v, r: r["additions"][0].update(handle="1b")), ("bilingual", "SC11", lambda m, v, r: r["additions"][0].update(handle="zz")), ("replace", "SC18", lambda m, v, r: r["reflows"][0].update(handle="1b")),
+    ("bilingual", "SC12", lambda m, v, r: v["rows"][-1].update(raw="Else")), ("replace", "SC19", lambda m, v, r: v["rows"][-1].update(block="*U3")),
+    ("bilingual", "SC13", lambda m, v, r: v["rows"][-1].update(height=1.0)), ("replace", "SC22", lambda m, v, r: v["rows"][-1].update(height=1.0)),
+    ("bilingual", "SC14", lambda m, v, r: v["rows"][-1].update(box=[10, 20, 30, 22])), ("replace", "SC23", lambda m, v, r: v["rows"][-1].update(box=[10, 20, 30, 22])),
+    ("replace", "SC20", lambda m, v, r: m["reflows"][0]["layoutPlan"].update(region=[40, 15, 15, 30])), ("replace", "SC21", lambda m, v, r: m["reflows"][0].pop("minReadableHeight")),
+    ("replace", "SC24", lambda m, v, r: v["rows"][-1].update(inkBox=[10, 20, 30, 22])), ("replace", None, lambda m, v, r: v["rows"][-1].update(inkBox=[20, 20, 30, 22])),
+    ("bilingual", "SC15", with_other(worldBoxes=FAR)), ("bilingual", "SC16", with_other(block="*U3")), ("bilingual", None, with_other(block="*U3", worldBoxes=FAR)), ("bilingual", None, with_other(visible=False)),
+    ("bilingual", None, with_other(raw="near", instanceDisplay="attribute-definition-suppressed", kind="ATTDEF")), ("bilingual", None, with_other(block="*U3", worldBoxes=[{**FAR[0], "root": "Else", "box": [28, 21, 35, 23]}])),
+    ("replace", "SC27", with_other()), ("replace", None, with_other(instanceDisplay="attribute-definition-suppressed", kind="ATTDEF")), ("replace", None, with_other(box=[28, 21, 35, float("inf")])), ("replace", None, with_other(box=[35, 21, 28, 23])),
+    ("bilingual", "SC2", lambda m, v, r: v["rows"][1].update(font=None)), ("bilingual", "SC3", lambda m, v, r: v["rows"][1].update(font="c.shx")), ("bilingual", "SC3", lambda m, v, r: v["rows"][1].update(layer="L")),
+    ("bilingual", "SC6", lambda m, v, r: v["coverageIssues"].append({"type": "missing-text-bounds", "handle": "1a"})), ("bilingual", "SC7", lambda m, v, r: v["rows"][1].update(worldBoxes=None)), ("replace", None, lambda m, v, r: v["rows"][1].update(worldBoxes=None)),
+    ("bilingual", "SC8", lambda m, v, r: v["styles"][0].update(font="b.shx")), ("bilingual", "SC8", lambda m, v, r: v["styles"].clear()), ("bilingual", "SC8", lambda m, v, r: v["styles"][0].update(width=2.0)), ("replace", None, lambda m, v, r: v["styles"][0].update(font="b.shx")),
+]
+
+
+def differences(spark, folder):
+    s, v = (artifacts.snapshots(spark, f"{folder}/*/{n}.json") for n in ("extracted", "saved"))
+    m, r = artifacts.mappings(spark, f"{folder}/*/mapping.json"), artifacts.read_json(spark, f"{folder}/*/status.json", schemas.RECEIPT)
+    got = {}
+    for x in [*diff.geometry_diff(s, v, m).collect(), *diff.content_diff(s, m, v, r).collect()]:
+        got.setdefault(x.job_id, set()).add(x.rule)
+    return got
+
+
+def test_generated_texts(spark, tmp_path):
+    """A case for each rule on saved content, and cases that keep them all."""
+    for i, (mode, _, change) in enumerate(GENERATED):
+        s, m, v, r = generated(mode, change)
+        write(tmp_path / f"case{i:02d}", extracted=s, mapping=m, saved=v, status=r)
+    got = differences(spark, tmp_path)
+    wrong = {}
+    for i, (_, rule, _) in enumerate(GENERATED):
+        have = {x for x in got.get(f"case{i:02d}", set()) if x.startswith("SC") and x != "SC26"}
+        if (rule not in have) if rule else have:
+            wrong[i] = (rule, have)
+    assert not wrong
+
+
+def test_joined_text_stays_in_its_source_note(spark, tmp_path):
+    def note(right):
+        def change(m, v, r):
+            m["edits"][0]["expectedRaw"] = LONG
+            v["rows"][-1].update(box=[20, 20, right, 22])
+        return change
+
+    for i, right in enumerate((24.9, 30.0)):
+        s, m, v, r = generated("replace", note(right))
+        s["rows"][0].update(kind="MTEXT", raw=LONG, box=[20, 14, 25, 22], position=[20, 22, 0])
+        write(tmp_path / f"case{i:02d}", extracted=s, mapping=m, saved=v, status=r)
+    got = differences(spark, tmp_path)
+    assert "SC25" not in got.get("case00", set()) and "SC25" in got["case01"]
+
+
+LONG = "a note of several words that is long enough to have limits"
+
+
+def test_fonts_by_face(spark, tmp_path):
+    face = {"fontFace": "Arial", "fontBold": False, "fontItalic": False}
+    cases = [(None, {"font": "arial.ttf", **face}, {"font": "ARIAL.TTC", **face}), (None, {"font": "", **face}, {"font": "x.ttf", **face}), ("SC3", {"font": "a.shx", **face}, {"font": "b.ttf", **face}),
+             ("SC3", {"font": "a.ttf", **face}, {"font": "b.ttf", **face, "fontBold": True}), ("SC3", {"font": "a.ttf"}, {"font": "b.ttf"}), ("SC3", {"font": "a.ttf", **face, "fontFace": ""}, {"font": "b.ttf", **face, "fontFace": ""})]
+    for i, (_, old, new) in enumerate(cases):
+        s, m, v, r = generated("bilingual")
+        for x, k in ((s, old), (v, new)):
+            x["rows"][1].update(k)
+            x["styles"][0].update(k)
+        write(tmp_path / f"case{i:02d}", extracted=s, mapping=m, saved=v, status=r)
+    got = differences(spark, tmp_path)
+    for i, (rule, _, _) in enumerate(cases):
+        assert got.get(f"case{i:02d}", set()) == ({"SC3", "SC8"} if rule else set()), i
+
+
+def test_ghosts_and_ellipses(spark, tmp_path):
+    import math
+
+    ghost = {"handle": "Z1", "type": "AcDbZombieEntity", "block": "*U3", "layer": "0", "shape": {"OriginalClassName": "TH_ParaBasePntUA", "HasFields": False, "GraphicsMetafileType": 1, "Other": 2}}
+    oval = {"handle": "E1", "type": "AcDbEllipse", "block": "Model", "layer": "0", "shape": {"Center": [1e6, 0.0, 0.0], "MajorAxis": [5.0, 0.0, 0.0], "MinorAxis": [0.0, 2.0, 0.0], "StartPoint": [0.001, 0.0, 0.0], "EndPoint": [3.0, 0.0, 0.0]}}
+    step = math.ulp(1e6)
+
+    def shape(i, **k):
+        return lambda v: v["geometry"][i]["shape"].update(k)
+
+    cases = [(None, 0, shape(2, GraphicsMetafileType=5)), ("GD12", 1, shape(2, GraphicsMetafileType=5)), ("GD12", 0, shape(2, Other=3)), ("GD12", 0, shape(2, GraphicsMetafileType=5, HasFields=True)),
+             (None, 0, shape(3, StartPoint=[0.001 + 3 * step, 0.0, 0.0])), ("GD12", 0, shape(3, StartPoint=[0.001 + 9 * step, 0.0, 0.0])), ("GD12", 0, shape(3, MajorAxis=[5.0 + 3 * step, 0.0, 0.0]))]
+    for i, (_, seen, change) in enumerate(cases):
+        s = snapshot()
+        s["blocks"][1]["visibleInstanceCount"] = seen
+        s["geometry"] += copy.deepcopy([ghost, oval])
+        v = copy.deepcopy(s)
+        v["rows"][0]["raw"], v["rows"][2]["raw"] = "Valve C30", "y"
+        change(v)
+        write(tmp_path / f"case{i:02d}", extracted=s, mapping=mapping(), saved=v, status={"schemaVersion": 1, "additions": [], "reflows": []})
+    got = differences(spark, tmp_path)
+    assert [got.get(f"case{i:02d}", set()) for i in range(len(cases))] == [{rule} if rule else set() for rule, _, _ in cases]
+
+
+def test_bound_evidence(spark):
+    names = [*evidence.BOUND, "candidate.dwg"]
+    tasks = spark.createDataFrame([("j", "bilingual", HASH_A)], "job_id string, mode string, sourceSha256 string")
+    candidates = spark.createDataFrame([("j", "c")], "job_id string, candidateSha256 string")
+    files = spark.createDataFrame([("j", n, "c" if n == "candidate.dwg" else f"h{i}") for i, n in enumerate(names)], "job_id string, name string, sha256 string")
+    reviews = spark.createDataFrame([("j", [("s1",)], None)], "job_id string, sheets array<struct<id:string>>, warnings array<string>")
+    none = spark.createDataFrame([], "job_id string")
+    record = evidence.verification(tasks, candidates, reviews, files, none)
+    assert record.first().asDict() == {"job_id": "j", "status": "verified", "mode": "bilingual", "sourceSha256": HASH_A, "candidateSha256": "c", "reviewedSheetIds": ["s1"], "warnings": [], **{c: f"h{i}" for i, c in enumerate(evidence.BOUND.values())}}
+    assert evidence.verification(tasks, candidates, reviews, files, spark.createDataFrame([("j",)], "job_id string")).count() == 0
+    source, copy_ = (spark.createDataFrame([("j", h)], "job_id string, sha256 string") for h in (HASH_A, "c"))
+    assert evidence.delivery_rules(record, files, source, copy_).count() == 0
+    changed_ = files.withColumn("sha256", F.when(F.col("name") == "visual-review.json", "x").otherwise(F.col("sha256")))
+    assert [r.detail for r in evidence.delivery_rules(record, changed_, source, copy_).collect()] == ["visualReviewSha256 changed"]
+    assert [r.detail for r in evidence.delivery_rules(record, files, source, source).collect()] == ["final copy"]
+    images = spark.createDataFrame([("j", "a.png", "source", "p"), ("j", "b.png", "candidate", "q"), ("j", "c.png", "candidate", "r"), ("j", "d.png", "source", "s")], "job_id string, name string, role string, sha256 string")
+    renders = spark.createDataFrame([("j", "a.png", HASH_A, "p", True), ("j", "b.png", "c", "q", True), ("j", "c.png", HASH_A, "r", True)], "job_id string, name string, drawingSha256 string, pngSha256 string, native boolean")
+    assert sorted(r.key for r in evidence.render_rules(images, renders, tasks, candidates).collect()) == ["candidate c.png", "source d.png"]
