@@ -60,31 +60,16 @@ def overlap_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("event_id_a < event_id_b").groupBy(F.col("event_type").alias("root"), "user_id").agg(F.count("*").alias("pairs"))
 
 
-_CIRCLES = "SELECT vec_id AS circle, label, embedding[1]::DOUBLE AS cx, embedding[2]::DOUBLE AS cy, 0.02 + (vec_id % 7) * 0.01 AS r FROM embeddings WHERE vec_id % 10 = 0"
+_CIRCLES = "SELECT vec_id AS circle, label, embedding[1]::DOUBLE AS cx, embedding[2]::DOUBLE AS cy, (0.02 + (vec_id % 7) * 0.01)::DOUBLE AS r FROM embeddings"
 
 
 @register(
     "nearest_enclosing",
-    f"""WITH c AS (SELECT circle, label, cx, cy, r::DOUBLE AS r FROM ({_CIRCLES})), p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
+    f"""WITH c AS ({_CIRCLES}), p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
         SELECT p.vec_id, arg_min(circle, (r, circle)) AS circle FROM p JOIN c ON p.label = c.label AND p.x >= c.cx - c.r AND p.x <= c.cx + c.r
           AND (p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy) <= c.r * c.r AND p.vec_id <> c.circle GROUP BY p.vec_id""",
 )
 def nearest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest circle of every tenth row around each point, as its SQL has it."""
-    v = table(spark, sf_dir, "embeddings")
-    return _enclosed(v, v.where("vec_id % 10 = 0"))
-
-
-_ALL_CIRCLES = "SELECT vec_id AS circle, label, embedding[1]::DOUBLE AS cx, embedding[2]::DOUBLE AS cy, (0.02 + (vec_id % 7) * 0.01)::DOUBLE AS r FROM embeddings"
-
-
-@register(
-    "nearest_enclosing_all",
-    f"""WITH c AS ({_ALL_CIRCLES}), p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
-        SELECT p.vec_id, arg_min(circle, (r, circle)) AS circle FROM p JOIN c ON p.label = c.label AND p.x >= c.cx - c.r AND p.x <= c.cx + c.r
-          AND (p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy) <= c.r * c.r AND p.vec_id <> c.circle GROUP BY p.vec_id""",
-)
-def nearest_enclosing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest circle of any row around each point."""
     v = table(spark, sf_dir, "embeddings")
     return _enclosed(v, v)
@@ -237,17 +222,14 @@ def sanitize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "boundary_literal",
-    r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS token FROM benchmark WHERE item_id % 10 = 0)
-        SELECT token, count(*) AS documents FROM t JOIN documents d ON regexp_matches(d.text, '(^|[^A-Za-z0-9_.])' || token || '([^A-Za-z0-9_.]|$|\.([^0-9]|$))') GROUP BY token""",
+    r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS token FROM benchmark),
+             -- delimiters are doubled, so that one word's end is not another's missing start
+             d AS (SELECT '  ' || regexp_replace(coalesce(text, ''), '([^A-Za-z0-9_.])', '\1\1', 'g') || '  ' AS text FROM documents),
+             w AS (SELECT unnest(list_distinct(regexp_extract_all(text, '[^A-Za-z0-9_.]([A-Za-z]{6,})([^A-Za-z0-9_.]|\.[^0-9])', 1))) AS token FROM d)
+        SELECT token, count(*) AS documents FROM w JOIN t USING (token) GROUP BY token""",
 )
 def boundary_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which a word of every tenth benchmark item stands as a unit, as its SQL has it."""
-    return _word_documents(table(spark, sf_dir, "benchmark").where("item_id % 10 = 0"), table(spark, sf_dir, "documents"))
-
-
-@register("boundary_literal_all")
-def boundary_literal_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which a word of any benchmark item stands as a unit. In SQL each word is a pattern of its own over every text."""
+    """Documents in which a word of any benchmark item stands as a unit."""
     return _word_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 

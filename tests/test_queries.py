@@ -98,12 +98,26 @@ def test_words_of_all_items(spark, tmp_path):
     hit = lambda w, t: re.search(rf"(^|[^A-Za-z0-9_.]){w}([^A-Za-z0-9_.]|\Z|\.([^0-9]|\Z))", t or "")
     want = {w: n for w in words if (n := sum(bool(hit(w, t)) for t in texts))}
     assert {"flange", "gasket", "casing"} <= set(want)
-    assert dict(map(tuple, entry.queries()["boundary_literal_all"](spark, str(tmp_path)).collect())) == want
+    assert dict(map(tuple, entry.queries()["boundary_literal"](spark, str(tmp_path)).collect())) == want
 
 
 def test_every_row_is_a_circle(spark, tmp_path):
     """Circles of rows whose vec_id is no multiple of ten enclose points too."""
     rows = [(1, [0.0, 0.0], 0), (2, [0.025, 0.0], 0), (3, [0.0, 0.01], 1), (12, [0.5, 0.5], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = entry.queries()["nearest_enclosing_all"](spark, str(tmp_path)).collect()
+    got = entry.queries()["nearest_enclosing"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, 2), (2, 1)]
+
+
+def test_wide_and_endless_ranges(spark):
+    from sheetwise.operators.overlap import range_join
+
+    inf, nan = float("inf"), float("nan")
+    a = [(1, 0.0, 1e12), (2, -inf, 5.0), (3, 4.0, 6.0), (4, nan, 9.0), (5, None, 2.0), (6, 1e300, inf), (7, 9.0, 8.0)]
+    b = [(1, 3.0, 5.0), (2, -1e15, 1e15), (3, 5.5, inf), (4, 1e11, 1e11 + 1), (5, -inf, inf), (6, 1.0, nan)]
+    x = spark.createDataFrame([("k", *r) for r in a], "k string, a long, lo_a double, hi_a double")
+    y = spark.createDataFrame([("k", *r) for r in b], "k string, b long, lo_b double, hi_b double")
+    good = lambda r: None not in r and r[1] == r[1] and r[2] == r[2] and r[1] <= r[2]
+    want = sorted((p[0], q[0]) for p in a for q in b if good(p) and good(q) and min(p[2], q[2]) - max(p[1], q[1]) > 1e-5)
+    got = range_join(x, y, ["k"], ("lo_a", "hi_a"), ("lo_b", "hi_b"), 1.0).select("a", "b").collect()
+    assert sorted(map(tuple, got)) == want
