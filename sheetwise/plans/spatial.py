@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import numbers, text
-from sheetwise.operators import bands, closure, numbering, overlap, units
+from sheetwise.operators import bands, binding, closure, numbering, overlap, units
 from sheetwise.session import table
 
 from .registry import declare, register
@@ -70,20 +70,12 @@ _CIRCLES = "SELECT vec_id AS circle, label, embedding[1]::DOUBLE AS cx, embeddin
           AND (p.x - c.cx) * (p.x - c.cx) + (p.y - c.cy) * (p.y - c.cy) <= c.r * c.r AND p.vec_id <> c.circle GROUP BY p.vec_id""",
 )
 def nearest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest circle of any row around each point."""
-    v = table(spark, sf_dir, "embeddings")
-    return _enclosed(v, v)
-
-
-def _enclosed(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """The smallest circle around each point: the binding of labels to circles, on the first two components."""
+    """The smallest circle of any other row around each point: the binding of labels to circles, on the first two components."""
     xy = [F.get("embedding", F.lit(i)).cast("double") for i in (0, 1)]
-    c = centres.select("label", F.col("vec_id").alias("circle"), xy[0].alias("cx"), xy[1].alias("cy"), F.expr("cast(0.02 + (vec_id % 7) * 0.01 AS double)").alias("r"))
-    c = c.withColumns({"c_lo": F.col("cx") - F.col("r"), "c_hi": F.col("cx") + F.col("r")})
-    p = points.select("label", "vec_id", xy[0].alias("x"), xy[1].alias("y")).withColumns({"p_lo": F.col("x"), "p_hi": F.col("x")})
-    near = overlap.range_join(p, c, ["label"], ("p_lo", "p_hi"), ("c_lo", "c_hi"), 0.1, least=-1e-300)
-    inside = near.where("(x - cx) * (x - cx) + (y - cy) * (y - cy) <= r * r AND x >= c_lo AND x <= c_hi AND vec_id <> circle")
-    return inside.groupBy("vec_id").agg(F.min_by("circle", F.struct("r", "circle")).alias("circle"))
+    v = table(spark, sf_dir, "embeddings").where("label IS NOT NULL")
+    points = v.select("label", "vec_id", xy[0].alias("x"), xy[1].alias("y"))
+    rings = v.select("label", F.col("vec_id").alias("circle"), xy[0].alias("cx"), xy[1].alias("cy"), F.expr("cast(0.02 + (vec_id % 7) * 0.01 AS double)").alias("r"))
+    return binding.smallest_enclosing(points, rings, ["label"], "vec_id").select("vec_id", "circle")
 
 
 @register(
