@@ -76,19 +76,30 @@ def delivery_rules(verified: DataFrame, files: DataFrame, sources: DataFrame, co
     return union(rules)
 
 
+# Fixed value: the separate copy that a verification opens.
+SEPARATE = "saved/input.dwg"
+
+
 def final_rules(tasks: DataFrame, mappings: DataFrame, receipts: DataFrame, saved: DataFrame, files: DataFrame) -> DataFrame:
-    """Violations that forbid a delivery: source, candidate and saved hashes, mode, languages, receipt and sheets."""
+    """Violations that forbid a delivery: source, candidate and saved hashes, mode, languages, receipt and sheets.
+
+    files: (job_id, name, sha256), names relative to the job's folder. The saved snapshot must come from the job's separate copy of the candidate.
+    """
     pick = lambda df, s, *cols: df.select("job_id", *(F.col(c).alias(f"{s}_{c}") for c in cols))
     all_ = tasks.join(pick(mappings, "m", "sourceSha256", "mode", "sourceLanguage", "targetLanguage", "scope"), "job_id", "left")
     all_ = all_.join(pick(receipts, "r", "schemaVersion", "status", "errors", "candidatePath", "candidateSha256"), "job_id", "left")
-    all_ = all_.join(pick(saved, "v", "sourceSha256", "openedCandidateSha256"), "job_id", "left")
+    all_ = all_.join(pick(saved, "v", "sourceSha256", "openedCandidateSha256", "cadInputSha256", "engine"), "job_id", "left")
     all_ = all_.join(files.select("job_id", F.col("name").alias("r_candidatePath"), F.col("sha256").alias("f_sha256")), ["job_id", "r_candidatePath"], "left")
+    all_ = all_.join(files.where(F.col("name") == SEPARATE).select("job_id", F.col("sha256").alias("s_sha256")), "job_id", "left")
+    opened = F.regexp_replace(F.regexp_replace("v_engine.inputPath", r"\\+", "/"), r"/(\./)+", "/")
+    apart = opened.endswith(F.concat(F.lit("/"), F.col("job_id"), F.lit(f"/{SEPARATE}")))
     ids = F.col("m_scope.sheetIds")
     return union([
         broken(all_, 1, "FN1", (F.col("sourceSha256") == F.col("m_sourceSha256")) & (F.col("sourceSha256") == F.col("v_sourceSha256")), "job_id", "source hash"),
         broken(all_, 2, "FN2", (F.col("mode") == F.col("m_mode")) & (F.col("sourceLanguage") == F.col("m_sourceLanguage")) & (F.col("targetLanguage") == F.col("m_targetLanguage")), "job_id", "mode or languages"),
         broken(all_, 3, "FN3", (F.col("r_schemaVersion") == 1) & (F.size(F.coalesce("r_errors", F.array().cast("array<string>"))) == 0) & (F.col("r_status") == "written-awaiting-verification"), "job_id", "receipt"),
         broken(all_, 4, "FN4", F.col("v_openedCandidateSha256") == F.col("r_candidateSha256"), "job_id", "another file was opened"),
-        broken(all_, 5, "FN5", F.col("f_sha256") == F.col("r_candidateSha256"), "job_id", "candidate changed or is missing"),
+        broken(all_, 3, "FN3", F.col("f_sha256") == F.col("r_candidateSha256"), "job_id", "candidate changed or is missing"),
+        broken(all_, 5, "FN5", apart & (F.col("s_sha256") == F.col("v_cadInputSha256")), "job_id", "the separate copy was not opened"),
         broken(all_, 6, "FN6", (F.size(ids) > 0) & (F.size(ids) == F.size(F.array_distinct(ids))), "job_id", "sheet ids"),
     ])

@@ -207,7 +207,7 @@ declare(
 )
 
 
-@register("sanitize_code", "SELECT DISTINCT p_type, upper(regexp_replace(p_type, '[^A-Za-z0-9_-]+', '-', 'g')) AS code FROM part")
+@register("sanitize_code", "SELECT DISTINCT p_type, upper(regexp_replace(p_type, '[^A-Za-z0-9-]', '', 'g')) AS code FROM part")
 def sanitize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_type", text.code_suffix(F.col("p_type")).alias("code")).distinct()
 

@@ -239,7 +239,7 @@ def test_delivery_is_numbered_and_checked(spark, tmp_path):
     (tmp_path / "c.dwg").write_bytes(b"drawing")
     out = str(tmp_path / "out")
     names = [sinks.deliver(spark, str(tmp_path / "c.dwg"), out, "plan", "zh hans", "bilingual", "dwg")[0].rsplit("/", 1)[1] for _ in range(2)]
-    assert names == ["plan-ZH-HANS-BILINGUAL-v01.dwg", "plan-ZH-HANS-BILINGUAL-v02.dwg"]
+    assert names == ["plan-ZHHANS-BILINGUAL-v01.dwg", "plan-ZHHANS-BILINGUAL-v02.dwg"]
 
 
 def test_listing_diff(spark):

@@ -1,0 +1,143 @@
+"""Job folders, documents and deployments on a file system, and the rules of a finished job."""
+
+import hashlib
+import json
+
+import pytest
+
+from sheetwise.operators import evidence, units
+from sheetwise.sources import jobs, schemas, sinks
+
+
+@pytest.fixture
+def drawing(tmp_path):
+    at = tmp_path / "plan.DWG"
+    at.write_bytes(b"drawing")
+    return at
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_a_job_is_prepared_once(spark, tmp_path, drawing):
+    job = tmp_path / "j1"
+    for bad in ((str(tmp_path / "none.dwg"), "replace", "a", "b"), (str(drawing), "merge", "a", "b"), (str(drawing), "replace", "a", "a"), (str(drawing), "replace", "", "b")):
+        with pytest.raises(ValueError):
+            jobs.prepare(spark, bad[0], str(job), *bad[1:])
+    assert not job.exists()
+    task = jobs.prepare(spark, str(drawing), str(job), "bilingual", "zh", "en")
+    assert (job / "input.dwg").read_bytes() == b"drawing" and json.loads((job / "task.json").read_text()) == task
+    assert task["sourceSha256"] == sha(b"drawing") and task["status"] == "prepared"
+    with pytest.raises(ValueError, match="exists"):
+        jobs.prepare(spark, str(drawing), str(job), "bilingual", "zh", "en")
+
+
+def test_stages_bind_and_drop_evidence(spark, tmp_path, drawing):
+    job = tmp_path / "j2"
+    jobs.prepare(spark, str(drawing), str(job), "replace", "zh", "en")
+    (job / "mapping.json").write_text('{"cadInputSha256": "x"}')
+    with pytest.raises(ValueError, match="another input"):
+        jobs.start_stage(spark, str(job), "write")
+    (job / "mapping.json").write_text(json.dumps({"cadInputSha256": sha(b"drawing")}))
+    for name in ("verification.json", "delivery.json", "write-status.json", "export-status.json"):
+        (job / name).write_text("{}")
+    jobs.start_stage(spark, str(job), "export")
+    assert (job / "verification.json").exists() and not (job / "export-status.json").exists()
+    before = jobs.start_stage(spark, str(job), "write")
+    assert before == sha(b"drawing") and not any((job / n).exists() for n in ("verification.json", "delivery.json", "write-status.json"))
+    with pytest.raises(ValueError, match="no status"):
+        jobs.finish_stage(spark, str(job), "write", before)
+    (job / "write-status.json").write_text('{"status": "failed"}')
+    with pytest.raises(ValueError, match="failed"):
+        jobs.finish_stage(spark, str(job), "write", before)
+    (job / "candidate.dwg").write_bytes(b"candidate")
+    opened = jobs.start_stage(spark, str(job), "verify")
+    assert opened == sha(b"candidate")
+    (job / "saved" / "input.dwg").write_bytes(b"touched")
+    (job / "saved" / "extracted.json").write_text('\ufeff{"rows": ["é"]}', encoding="utf-8")
+    (job / "verify-status.json").write_text('{"status": "extracted"}')
+    assert jobs.finish_stage(spark, str(job), "verify", opened) == {"status": "extracted"}
+    bound = json.loads((job / "saved" / "extracted.json").read_text(encoding="utf-8"))
+    assert bound == {"rows": ["é"], "cadInputSha256": sha(b"touched"), "openedCandidateSha256": sha(b"candidate")}
+    drawing.write_bytes(b"other")
+    with pytest.raises(ValueError, match="source"):
+        jobs.finish_stage(spark, str(job), "verify", opened)
+
+
+def test_images_are_bound(spark, tmp_path, drawing):
+    image = str(tmp_path / "a" / "x.png")
+    jobs.check_render(spark, str(drawing), image, str(tmp_path / "a"), [0, 0, 1, 1])
+    for more in ({"job": str(tmp_path / "b")}, {"window": [0, 0, 0, 1]}, {"window": [0, 0, float("nan"), 1]}, {"window": [0, 0, 1]}, {"layout": ""}, {"layout": 'A"'}, {"image": str(tmp_path / "a" / ".." / "x.png")}, {"image": image + "\n"}):
+        with pytest.raises(ValueError):
+            jobs.check_render(spark, str(drawing), **{"image": image, "job": str(tmp_path / "a"), **more})
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.png").write_bytes(b"p" * 512)
+    with pytest.raises(ValueError, match="no image"):
+        jobs.render_receipt(spark, str(drawing), image, str(drawing), sha(b"drawing"))
+    (tmp_path / "a" / "x.png").write_bytes(b"p" * 513)
+    with pytest.raises(ValueError, match="changed"):
+        jobs.render_receipt(spark, str(drawing), image, str(drawing), "0" * 64)
+    got = jobs.render_receipt(spark, str(drawing), image, str(drawing), sha(b"drawing"))
+    assert got["native"] and got["pngSha256"] == sha(b"p" * 513) and json.loads((tmp_path / "a" / "x.png.render.json").read_text()) == got
+
+
+def test_deployment_replaces_and_archives(spark, tmp_path):
+    src, dst = tmp_path / "s", tmp_path / "t"
+    for at, text in ((src / "A.md", "1"), (src / "d" / "b c+%41é.py", "2"), (src / "d" / "__pycache__" / "b.pyc", "3"), (src / "e" / "same", "4"), (src / "unlisted", "5"), (dst / "e" / "same", "4"), (dst / "A.md", "old"), (dst / "gone" / "x", "6"), (dst / "work" / "kept", "7")):
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+    names = jobs.maintained(spark, str(src), ["A.md"], ["d", "e", "none"])
+    assert names == ["A.md", "d/b c+%41é.py", "e/same"]
+    for bad in ([str(src / "A.md")], ["../t/A.md"], ["A.md", "d/../A.md"], ["none"]):
+        with pytest.raises(ValueError):
+            jobs.deploy(spark, str(src), str(dst), bad, str(tmp_path / "old"))
+    for roots in ((src, src, "old"), (src, src / "d", "old"), (src, dst, "t/old"), (src, dst, "s")):
+        with pytest.raises(ValueError):
+            jobs.deploy(spark, str(roots[0]), str(roots[1]), names, str(tmp_path / roots[2]))
+    got = jobs.deploy(spark, str(src), str(dst), names, str(tmp_path / "old"))
+    assert got.installed == 3 and got.removed == ["A.md", "gone/x"]
+    left = {p.relative_to(dst).as_posix(): p.read_text() for p in dst.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert left == {"A.md": "1", "d/b c+%41é.py": "2", "e/same": "4", "work/kept": "7"}
+    assert (tmp_path / "old" / "A.md").read_text() == "old" and json.loads((tmp_path / "old" / "deployment.json").read_text())["installedFiles"] == 3
+    with pytest.raises(ValueError, match="archive"):
+        jobs.deploy(spark, str(src), str(dst), names, str(tmp_path / "old"))
+
+
+def test_documents_keep_order_and_header(spark, tmp_path):
+    u = spark.createDataFrame([(i, f"unit-{i:06d}", "B", None, [i], "é" if i % 2 else "b", [0.0, 0.0, 1.0, 1.0], 1.0, 1, None) for i in range(20, 0, -1)], "number long, id string, block string, region string, members array<int>, source string, box array<double>, height double, nlines int, review string")
+    sinks.write_units(u.repartition(3), str(tmp_path / "units.json"), "s", None)
+    got = json.loads((tmp_path / "units.json").read_text(encoding="utf-8"))
+    assert [x["id"] for x in got["units"]] == [f"unit-{i:06d}" for i in range(1, 21)] and got["units"][0]["region"] is None
+    assert (got["schemaVersion"], got["sourceSha256"], got["cadInputSha256"]) == (1, "s", None)
+    sinks.write_packet(units.packet(u), str(tmp_path / "packet.json"), 20, "s", "c")
+    got = json.loads((tmp_path / "packet.json").read_text(encoding="utf-8"))
+    assert [(e["id"], e["source"], len(e["occurrences"])) for e in got["entries"]] == [("text-000001", "é", 10), ("text-000002", "b", 10)]
+    assert got["unitCount"] == 20 and got["contextRule"] == sinks.CONTEXT_RULE
+    sinks.write_units(u.limit(0), str(tmp_path / "none.json"), None, None)
+    assert json.loads((tmp_path / "none.json").read_text())["units"] == []
+
+
+def test_final_rules(spark):
+    task = {"job_id": "j", "sourceSha256": "s", "mode": "replace", "sourceLanguage": "a", "targetLanguage": "b"}
+    receipt = {"job_id": "j", "schemaVersion": 1, "status": "written-awaiting-verification", "errors": [], "candidatePath": "candidate.dwg", "candidateSha256": "c"}
+    saved = {"job_id": "j", "sourceSha256": "s", "openedCandidateSha256": "c", "cadInputSha256": "i", "engine": {"inputPath": r"D:\jobs\j\saved\input.dwg"}}
+
+    def broken(mapping=None, receipt_=None, saved_=None, copy_="i"):
+        one = lambda row, ddl: spark.createDataFrame([row], "job_id string, " + ddl)
+        m = {**task, "scope": {"sheetIds": ["1", "2"]}, **(mapping or {})}
+        files = spark.createDataFrame([("j", "candidate.dwg", "c"), ("j", "saved/input.dwg", copy_)], "job_id string, name string, sha256 string")
+        snap = "sourceSha256 string, openedCandidateSha256 string, cadInputSha256 string, engine struct<inputPath:string>"
+        names = "sourceSha256 string, mode string, sourceLanguage string, targetLanguage string"
+        out = evidence.final_rules(one(task, names), one(m, names + ", scope struct<sheetIds:array<string>>"), one({**receipt, **(receipt_ or {})}, "schemaVersion int, status string, errors array<string>, candidatePath string, candidateSha256 string"), one({**saved, **(saved_ or {})}, snap), files)
+        return sorted({r["rule"] for r in out.collect()})
+
+    assert "engine" in schemas.SNAPSHOT
+    assert broken() == []
+    assert broken({"mode": "bilingual"}) == ["FN2"]
+    assert broken(receipt_={"errors": ["x"]}) == ["FN3"]
+    assert broken(receipt_={"candidateSha256": "d"}) == ["FN3", "FN4"]
+    assert broken(saved_={"engine": {"inputPath": "/jobs/j/input.dwg"}}) == ["FN5"]
+    assert broken(saved_={"engine": None}) == ["FN5"]
+    assert broken(copy_="changed") == ["FN5"]
+    assert broken({"scope": {"sheetIds": ["1", "1"]}}) == ["FN6"]
