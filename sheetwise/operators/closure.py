@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from sheetwise.session import recursive
+
 #: Levels of nesting after which a chain is reported rather than followed.
 DEPTH = 64
 
@@ -15,7 +17,7 @@ def closure(edges: DataFrame, owners: DataFrame, depth: int = DEPTH) -> DataFram
     parent, once for each reference. A chain that meets a block twice is kept with cyclic true and not
     followed. The recursion stays in one plan; a block without references is its own only placement.
     """
-    spark = edges.sparkSession
+    spark = recursive(edges.sparkSession)
     return spark.sql(
         f"""WITH RECURSIVE placed(owner, block, path, scale, shift, cyclic) MAX RECURSION LEVEL {depth} AS (
               SELECT id, id, array(id), 1.0D, 0.0D, false FROM {{owners}}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.numbers import finite, transform_point
+from sheetwise.session import recursive
 from sheetwise.sources.artifacts import section
 
 from .closure import DEPTH
@@ -46,7 +47,7 @@ def expanded(snapshots: DataFrame, depth: int = DEPTH) -> DataFrame:
     bad = refs.where(~F.coalesce((F.size("matrix") == 16) & F.forall("matrix", finite), F.lit(False))).select("handle").first()
     if bad:
         raise ValueError(f"matrix of block reference {bad.handle} needs review")
-    placed = snapshots.sparkSession.sql(
+    placed = recursive(snapshots.sparkSession).sql(
         f"""WITH RECURSIVE placed(job_id, owner, block, path, moves, cyclic) MAX RECURSION LEVEL {depth} AS (
               SELECT job_id, parent, child, array(parent, child), array(matrix), parent = child FROM {{refs}}
               UNION ALL

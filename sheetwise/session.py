@@ -10,7 +10,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.cteRecursionRowLimit": "-1",
 }
+#: Spark's own bound on the rows of a recursion, which is a matter of size; levels bound it by meaning.
+ROW_LIMIT = "1000000"
 
 
 def session(app: str = "sheetwise", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +26,13 @@ def session(app: str = "sheetwise", master: str | None = None, **conf: str) -> S
     return builder.getOrCreate()
 
 
+def recursive(spark: SparkSession) -> SparkSession:
+    """The session, without Spark's default bound on the rows of a recursion. A bound that someone else set stays."""
+    if spark.conf.get("spark.sql.cteRecursionRowLimit") == ROW_LIMIT:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, by any path Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -121,3 +121,18 @@ def test_wide_and_endless_ranges(spark):
     want = sorted((p[0], q[0]) for p in a for q in b if good(p) and good(q) and min(p[2], q[2]) - max(p[1], q[1]) > 1e-5)
     got = range_join(x, y, ["k"], ("lo_a", "hi_a"), ("lo_b", "hi_b"), 1.0).select("a", "b").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_recursions_have_no_bound_on_rows(spark):
+    """Spark's default bound goes, one that a user set stays and is an error."""
+    from sheetwise.operators import closure
+
+    key, own = "spark.sql.cteRecursionRowLimit", spark.newSession()
+    edges = own.range(40).selectExpr("cast(id AS string) AS parent", "concat('c', id) AS child", "1.0D AS scale", "0.0D AS shift")
+    owners = own.range(40).selectExpr("cast(id AS string) AS id")
+    own.conf.set(key, "1000000")
+    assert closure.closure(edges, owners).count() == 80 and own.conf.get(key) == "-1"
+    own.conf.set(key, "50")
+    with pytest.raises(Exception, match="RECURSION_ROW_LIMIT"):
+        closure.closure(edges, owners).count()
+    assert own.conf.get(key) == "50"
