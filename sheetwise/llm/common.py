@@ -71,6 +71,25 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+#: A key is popular if more than one in so many rows has it; so there are fewer than that many popular keys.
+POPULAR = 1024
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """A left join of rows with facts about keys, without a task that holds all rows of a popular key.
+
+    facts is a table read several times, with one row for each key; its column `size`, which is dropped, says how many of the
+    `total` rows have the key. Facts of popular keys, fewer than POPULAR rows at any input, are broadcast; the other
+    rows meet by a shuffle. Rows without a key take no part in either.
+    """
+    heavy = facts.where(F.col(size) * POPULAR > F.lit(total)).drop(size)
+    light = facts.where(F.col(size) * POPULAR <= F.lit(total)).drop(size)
+    there = rows.where(F.col(key).isNotNull())
+    rest = there.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left")
+    out = there.join(F.broadcast(heavy), key).unionByName(rest)
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after Arrow batches were brought to BATCH_ROWS rows where the session has Spark's default of 10000.
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, drop, small_batches, spread_join
 
 BLOCK_DIMS = 8
 #: Rows of one side that meet in a call; fuller cells are split.
@@ -37,8 +37,14 @@ def matrix(array: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def precision(vectors: DataFrame) -> type:
+    """What holds the components without loss: 32 bits where the column has no more."""
+    return np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
+
+
 def keyed(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, cid, mark, dims and vector (doubles): rows with equal labels and vectors share cid; null where a row links with nothing."""
+    """vec_id, label, cid, mark, dims and vector (bytes of the column's precision): rows with equal labels and vectors share cid; null where a row links with nothing."""
+    kind = precision(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,7 +53,7 @@ def keyed(vectors: DataFrame) -> DataFrame:
                 if x is None or label is None:
                     cid.append(None), mark.append(None), dims.append(None), body.append(None)
                     continue
-                raw = x.tobytes()
+                raw = x.astype(kind).tobytes()
                 d = hashlib.blake2b(raw, digest_size=16, salt=hashlib.blake2b(str(label).encode(), digest_size=16).digest()).digest()
                 cid.append(int.from_bytes(d[:8], "little", signed=True))
                 mark.append(int.from_bytes(d[8:], "little", signed=True))
@@ -93,8 +99,8 @@ def _cells(x: np.ndarray, radius: float, probe: bool) -> tuple[np.ndarray, np.nd
     return row, key
 
 
-def _unit(bodies: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(bodies), np.float64).reshape(len(bodies), -1)
+def _unit(bodies: list[bytes], kind: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(bodies), kind).astype(np.float64).reshape(len(bodies), -1)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -109,9 +115,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     sides. Vectors of different length never link; null labels, and vectors that are null, zero or
     hold null or non-finite components, link with nothing. Repeated rows are separate vectors.
     """
+    kind = precision(vectors)
     rows = cut(keyed(vectors))
     classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(
-        F.count("*").alias("weight"), F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("vector").alias("vector"), (F.min("mark") != F.max("mark")).alias("clash")
+        F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("dims").alias("dims"), F.first("vector").alias("vector"), (F.min("mark") != F.max("mark")).alias("clash")
     )
     classes = cut(classes)
     if classes.where("clash").limit(1).count():
@@ -126,7 +133,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
                 dims = part.column("dims").to_numpy()
                 for d in np.unique(dims).tolist():
                     own = part.filter(pa.array(dims == d))
-                    x = _unit(own.column("vector").to_pylist()) @ rotation(d)
+                    x = _unit(own.column("vector").to_pylist(), kind) @ rotation(d)
                     for b, ((lo, hi), share) in enumerate(zip(blocks(d), budgets(d, cosine))):
                         for probe in (False, True):
                             row, key = _cells(x[:, lo : min(hi, lo + grid)], math.sqrt(share), probe)
@@ -157,7 +164,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
         if probe.all() or not probe.any():
             return nothing
         cid, weight = group.column("cid").to_numpy(), group.column("weight").to_numpy()
-        x = _unit(group.column("vector").to_pylist())
+        x = _unit(group.column("vector").to_pylist(), kind)
         d, block = x.shape[1], group.column("block")[0].as_py()
         turned = x @ rotation(d)
         share = budgets(d, cosine)
@@ -209,8 +216,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     found = cut(dealt.groupBy(*cell, "h", "p").applyInArrow(meet, "cid long, links long, other long"))
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = components(found.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b")))
-    each = rows.select("vec_id", "cid").join(classes.select("cid", "weight"), "cid", "left").join(counts, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-    each = each.withColumn("comp", F.coalesce("component", "cid"))
-    least = each.where("comp IS NOT NULL").groupBy("comp").agg(F.min("vec_id").alias("component_id"))
-    out = each.join(least, "comp", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
-    return out.select("vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    each = classes.select("cid", "weight", "least").join(counts, "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
+    each = cut(each.select("cid", "weight", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("comp")))
+    whole = cut(each.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    facts = cut(spread_join(each, whole, "comp", "classes", classes.count()).select("cid", "weight", "n_links", "component_id"))
+    drop(classes, full, found, each, whole)
+    out = spread_join(rows.select("vec_id", "cid"), facts, "cid", "weight", rows.count())
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from sheetwise.llm import vectors
+from sheetwise.llm import common, vectors
 from sheetwise.llm.queries import QUERIES
 
 from .conftest import reach
@@ -65,3 +65,20 @@ def test_clashing_columns_and_long_vectors(spark):
     rows = [(i, np.float32(base[i % 4] + 0.1 * rng.standard_normal(4000) * (i > 3)).tolist(), 1) for i in range(16)]
     df = spark.createDataFrame([(*r, 5, "x", 2) for r in rows], SCHEMA + ", cid int, cell string, weight int")
     assert sorted(map(tuple, vectors.near_duplicates(df).collect())) == brute(rows)
+
+
+def test_popular_keys_are_joined_apart(spark):
+    rows = spark.range(5000).selectExpr("id AS v", "CASE WHEN id < 4000 THEN 7 WHEN id < 4900 THEN id END AS k")
+    facts = rows.where("k IS NOT NULL AND k <> 4001").groupBy("k").count().selectExpr("k", "count AS n", "k * 2 AS w").cache()
+    got = common.spread_join(rows, facts, "k", "n", 5000)
+    assert set(got.columns) == {"v", "k", "w"}
+    want = sorted((v, 14 if v < 4000 else v * 2 if v < 4900 and v != 4001 else None) for v in range(5000))
+    assert sorted(map(tuple, got.select("v", "w").collect())) == want
+
+
+def test_doubles_keep_their_precision(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + rng.standard_normal(16) * 0.12).tolist(), 1) for i in range(60)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
