@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, components, cut, drop, pieces, small_batches, text_buffer
+from .common import bucketed, components, cut, drop, pieces, small_batches, spread_join, text_buffer
 
 WORDS = 5
 #: 3/4 as integers: two sets link when NUM * union <= DEN * intersection.
@@ -453,11 +453,15 @@ def similar(docs: DataFrame) -> DataFrame:
     if links[-1].limit(1).count():
         parts = cut(components(_all(links)))
     drop(bodies, lists, known, more, *tried, *links)
-    member = owned.select("doc_id", "cid", "n").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
-    member = cut(member.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("component", "cid"))))
-    least = cut(member.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    out = member.join(least, "comp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    member = owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
+    each = member.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"))
+    each = each.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    each = cut(each)
+    whole = cut(each.groupBy("comp").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    facts = cut(spread_join(each, whole, "comp", "classes", each.count()).select("cid", "docs", "component_id"))
+    drop(each, whole)
+    out = spread_join(member, facts, "cid", "docs", member.count())
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
