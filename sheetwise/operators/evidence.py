@@ -19,7 +19,7 @@ def review_rules(reviews: DataFrame, mappings: DataFrame, files: DataFrame, sour
     sheets = reviews.select("job_id", F.explode("sheets").alias("s")).select("job_id", "s.*")
     bound = reviews.join(mappings.select("job_id", F.col("sourceSha256").alias("m_source")), "job_id", "left")
     both = scope.distinct().withColumn("a", F.lit(1)).join(sheets.select("job_id", "id").distinct().withColumn("b", F.lit(1)), ["job_id", "id"], "full")
-    regions = sheets.select("job_id", "id", F.explode_outer("denseRegions").alias("d"))
+    regions = sheets.select("job_id", "id", F.explode("denseRegions").alias("d"))
     images = sheets.select("job_id", "id", F.explode(F.array("sourceImage", "candidateImage")).alias("name"))
     images = images.union(regions.select("job_id", "id", F.explode(F.array("d.sourceImage", "d.candidateImage"))))
     seen = images.join(files.select("job_id", "name", "is_png"), ["job_id", "name"], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.session import table
 
-from . import relational, snapshots, spatial  # noqa: F401  they register their queries
+from . import records, relational, snapshots, spatial  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, register
 
 __all__ = ["ORACLES", "QUERIES"]
