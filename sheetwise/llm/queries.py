@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, mix, neighbours, packing, pii, quality, shards, vectors, warc
+from . import audit, chat, jaccard, mix, neighbours, packing, pii, quality, shards, vectors, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,35 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = shards.shard(table(spark, sf_dir, "documents"), shared_dir(spark))
     text = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     return rows.select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"), F.col("_version").alias("version"), text)
+
+
+@register(
+    "op13_filter_audit",
+    r"""WITH words AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        least_id AS (SELECT t, min(doc_id) AS m FROM words GROUP BY t),
+        marked AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        fails AS (
+          SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+                        CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) THEN 'C' ELSE '' END,
+                        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN doc_id > m THEN 'E' ELSE '' END) AS f
+          FROM words JOIN least_id USING (t) LEFT JOIN marked USING (doc_id)),
+        cells AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, f),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        perms AS (SELECT concat(a.x, b.x, c.x, d.x, e.x) AS o FROM letters a, letters b, letters c, letters d, letters e
+                  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT o, k, substr(o, k, 1) AS x, substr(o, 1, k - 1) AS before FROM perms, range(1, 6) r(k)),
+        hits AS (SELECT part, o, k, x, n, good, toxic, f, contains(f, x) AS fails_x, len(translate(f, before, '')) < len(f) AS gone FROM cells, steps),
+        per_step AS (
+          SELECT part, o, k, x, sum(n) FILTER (NOT gone AND NOT fails_x) AS kept, sum(n) FILTER (NOT gone AND fails_x) AS removed, sum(n) FILTER (gone AND fails_x) AS redundant,
+                 sum(n) FILTER (f = x) AS unique_fails, sum(good) FILTER (NOT gone AND fails_x) AS good_lost, sum(toxic) FILTER (NOT gone AND fails_x) AS toxic_lost
+          FROM hits GROUP BY part, o, k, x)
+        SELECT part, o AS filter_order, k::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+               coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               (sum(coalesce(removed, 0)) OVER (PARTITION BY part, x))::BIGINT AS shapley
+        FROM per_step""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in every order."""
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
