@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, jaccard, mix, neighbours, packing, pii, quality, shards, vectors, warc
+from . import audit, chat, fingerprints, jaccard, mix, neighbours, packing, pii, quality, shards, vectors, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,3 +195,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters over all documents, in every order."""
     return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of all documents and of their edited texts, and how alike they are."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))

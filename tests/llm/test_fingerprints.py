@@ -1,0 +1,118 @@
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from sheetwise.llm import fingerprints as fp
+from sheetwise.llm.jaccard import mix, shingle_sets
+from sheetwise.llm.queries import QUERIES
+
+
+def grams(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def jaccard(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def slow(hashes):
+    """The digits of one set: bins by the highest bits, then each empty bin along its own sequence."""
+    bins = {}
+    for h in map(int, hashes):
+        bins[h >> 55] = min(h, bins.get(h >> 55, 1 << 64))
+    out = []
+    for b in range(fp.BINS):
+        at, attempt = b, 0
+        while at not in bins:
+            at = int(mix(np.array([(b * 0x9E3779B97F4A7C15 + attempt + 1) % 2**64], np.uint64))[0]) >> 55
+            attempt += 1
+        out.append("0123456789abcdef"[bins[at] & 15])
+    return "".join(out)
+
+
+def test_digits_against_a_slow_version():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)) for n in (0, 1, 2, 3, 40, 300, 5000)]
+    got = [fp.packed(row, len(s)) for row, s in zip(fp.digits(sets), sets)]
+    assert got[0] == "" and got[1:] == [slow(s) for s in sets[1:]]
+    assert len(set(got[1])) == 1
+
+
+def test_likeness_is_unbiased():
+    """Over many pairs of sets of one similarity the mean is that similarity, for full and for sparse bins."""
+    rng = np.random.default_rng(2)
+    for size in (60, 400, 4000):
+        for share in (0.0, 0.2, 0.5, 0.9):
+            common = int(round(2 * size * share / (1 + share)))
+            est = []
+            for _ in range(60):
+                h = rng.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2 * size - common, dtype=np.uint64)
+                a, b = np.sort(h[:size]), np.sort(h[size - common :])
+                x, y = (fp.packed(r, 1) for r in fp.digits([a, b]))
+                est.append((np.frombuffer(x.encode(), np.uint8) == np.frombuffer(y.encode(), np.uint8)).mean())
+            mean = (np.mean(est) - fp.CHANCE) / (1 - fp.CHANCE)
+            assert mean == pytest.approx(common / (2 * size - common), abs=0.03 if size > 100 else 0.06)
+
+
+def test_query_against_brute_force(spark, sf):
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    rows = {r.doc_id: r for r in QUERIES["op12_fingerprints"](spark, sf).collect()}
+    assert len(rows) == len(docs)
+    off_edit, off_next, by_text = [], [], {}
+    for (i, t), (_, after) in zip(docs, docs[1:] + docs[:1]):
+        half = len(t) // 2
+        new = t[: len(t) - half] + after[:half]
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest())
+        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint and by_text.setdefault(new, r.edited_fingerprint) == r.edited_fingerprint
+        assert (r.near_edited, r.near_next) == (fp.alike(r.fingerprint, r.edited_fingerprint), fp.alike(r.fingerprint, rows[docs[(docs.index((i, t)) + 1) % len(docs)][0]].fingerprint))
+        off_edit.append(r.near_edited - jaccard(t, new))
+        off_next.append(r.near_next - jaccard(t, after))
+    long = [abs(o) for o, (_, t) in zip(off_edit, docs) if len(grams(t)) > 50]
+    print("mean", np.mean(off_edit), "abs", np.mean(np.abs(off_edit)), "long", np.mean(long), max(long), "next", np.mean(np.abs(off_next)))
+    assert abs(np.mean(off_edit)) < 0.01 and np.mean(long) < 0.03 and np.mean(np.abs(off_next)) < 0.02
+    a = spark.createDataFrame([(r.fingerprint, r.edited_fingerprint, r.near_edited) for r in list(rows.values())[:50]], "a string, b string, want double")
+    assert all(r.got == pytest.approx(r.want) for r in a.select(fp.likeness(a.a, a.b).alias("got"), "want").collect())
+
+
+def neighbours(spark, rows, parts):
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, kind string, part int").repartition(parts)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        return fp.compare_with_edits(d).collect()
+    finally:
+        spark.conf.unset(key)
+
+
+def test_edges_and_borders(spark):
+    a, b = "one two three four five six seven", "ÄÖ ü\U0001f600 word" * 30
+    for rows in ([(1, a)], [(1, a), (2, b)], [(5, None), (1, ""), (2, " \t"), (3, a), (4, a), (9, "x y"), (10, "z " * 300_000), (11, b)]):
+        got = {r.doc_id: r for r in neighbours(spark, rows, 3)}
+        ordered = sorted((i, t or "") for i, t in rows)
+        assert len(got) == len(rows)
+        for (i, t), (j, after) in zip(ordered, ordered[1:] + ordered[:1]):
+            new = fp.edited(t, after)
+            want = [fp.packed(r, len(s)) for s in [shingle_sets(pa.array([t]))[0]] for r in fp.digits([s])][0]
+            assert got[i].fingerprint == want and got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+            assert got[i].near_next == fp.alike(got[i].fingerprint, got[j].fingerprint) and 0 <= got[i].near_edited <= 1
+    assert got[5].fingerprint == got[1].fingerprint == got[2].fingerprint == "" and got[3].near_next == 1 and got[5].near_next == 0
+
+
+def test_repeated_and_unnamed_rows(spark):
+    rows = [(1, "a b")] * 50 + [(None, "n " * 9)] * 3 + [(None, "m"), (2, None)]
+    got = neighbours(spark, rows, 4)
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 4
+    assert sum(r.near_next == 1 for r in got if r.doc_id == 1) == 49
+    assert neighbours(spark, [], 1) == []
+
+
+def test_fingerprints_of_any_frame(spark):
+    d = spark.createDataFrame([(1, "a b c", "old"), (2, None, "old"), (3, "A  B c", "old")], "id int, text string, fingerprint string")
+    got = {r.id: r.fingerprint for r in fp.fingerprints(d).collect()}
+    assert got[1] == got[3] and len(got[1]) == fp.BINS and got[2] == ""
