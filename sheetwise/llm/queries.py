@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, chat, fingerprints, jaccard, mix, neighbours, packing, pii, quality, shards, vectors, warc
+from . import audit, chat, fingerprints, jaccard, mix, neighbours, packing, pii, quality, shards, turns, vectors, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +201,53 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprints of all documents and of their edited texts, and how alike they are."""
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op11_turn_repair",
+    r"""WITH RECURSIVE hashed AS (
+          SELECT *, xor(list_reduce(list_transform(string_split(concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')), ''), lambda c: ascii(c)::BIGINT),
+                    lambda x, b: list_reduce(range(8), lambda y, k: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END, xor(x, b)), 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS lot
+          FROM conversations),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+                 CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text
+          FROM hashed, (VALUES (1), (2)) twice(i) WHERE lot <> 0 AND (i = 1 OR lot = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+        told AS (
+          SELECT *, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0,
+                 CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                      WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f
+          FROM placed),
+        counts AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+                 count(*) FILTER (f = 't') AS truncated, count(*) FILTER (r0 IS NOT NULL AND concat(r0, r) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+          FROM told GROUP BY conv_id),
+        walk AS (
+          SELECT conv_id, 0::BIGINT AS i, 'n' AS s, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM counts
+          UNION ALL
+          SELECT conv_id, i, s, min(best) FROM (
+            SELECT t.conv_id, t.i,
+                   CASE WHEN op = 'D' THEN at_s WHEN op = 'S' THEN 's' ELSE need END AS s,
+                   {'cost': w.best.cost + 3 * k + CASE op WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN op <> 'D' AND t.f = 't' THEN 3 ELSE 0 END,
+                    'audit': concat(w.best.audit, repeat('I', k), CASE op WHEN 'S' THEN 'K' ELSE op END),
+                    'lines': list_concat(w.best.lines, [CASE x WHEN 'u' THEN 'user:' ELSE 'assistant:' END FOR x IN string_split(added, '') IF x <> ''],
+                      CASE op WHEN 'D' THEN [] WHEN 'R' THEN [concat(CASE need WHEN 'u' THEN 'user:' ELSE 'assistant:' END, t.text)] ELSE [concat(t.role, ':', t.text)] END)} AS best
+            FROM (SELECT *, CASE WHEN k = 0 THEN s ELSE right(added, 1) END AS at_s,
+                         CASE WHEN CASE WHEN k = 0 THEN s ELSE right(added, 1) END = 'u' THEN 'a' ELSE 'u' END AS need
+                  FROM (SELECT *, CASE WHEN s = 'u' THEN substr('au', 1, k) ELSE substr('ua', 1, k) END AS added FROM walk, (VALUES (0), (1), (2)) inserts(k))) w
+            JOIN told t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.i = w.i + 1
+            JOIN (VALUES ('K'), ('S'), ('R'), ('D')) ops(op)
+              ON op = 'D' OR t.f NOT IN ('b', 'd') AND (op = 'R' OR op = 'K' AND t.r = need OR op = 'S' AND t.r = 's' AND at_s = 'n'))
+          GROUP BY conv_id, i, s),
+        ends AS (
+          SELECT w.conv_id, min({'cost': best.cost + 3 * k, 'audit': concat(best.audit, repeat('I', k)), 'lines': list_concat(best.lines, (['user:', 'assistant:'])[3 - k:2])}) AS best
+          FROM (SELECT *, CASE s WHEN 's' THEN 2 WHEN 'u' THEN 1 ELSE 0 END AS k FROM walk) w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n GROUP BY w.conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit,
+               sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired at the least cost."""
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
