@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.functions import text
+
 from .contracts import broken, repeated, union
 
 
-def review_rules(reviews: DataFrame, mappings: DataFrame, files: DataFrame, source_sha256: str = "sourceSha256") -> DataFrame:
+def review_rules(reviews: DataFrame, tasks: DataFrame, candidates: DataFrame, mappings: DataFrame, files: DataFrame) -> DataFrame:
     """Violations of visual reviews. files: (job_id, name, sha256, is_png), names relative to the job's folder.
 
-    Sheets must be those of the mapping's scope, each reviewed with dense regions, and every image a PNG of the job.
+    A review must name the task's source and the candidate (job_id, candidateSha256), and state that no issue is open: a missing
+    list of issues is no empty one. Sheets must be those of the mapping's scope, each reviewed with dense regions, and every image a PNG of the job.
     """
     no = F.lit(False)
-    empty = F.array().cast("array<string>")
     scope = mappings.select("job_id", F.explode("scope.sheetIds").alias("id"))
     sheets = reviews.select("job_id", F.explode("sheets").alias("s")).select("job_id", "s.*")
-    bound = reviews.join(mappings.select("job_id", F.col("sourceSha256").alias("m_source")), "job_id", "left")
+    bound = reviews.join(tasks.select("job_id", F.col("sourceSha256").alias("t_source")), "job_id", "left").join(candidates.select("job_id", F.col("candidateSha256").alias("c_candidate")), "job_id", "left")
+    named = (F.col("sourceSha256") == F.col("t_source")) & (F.col("candidateSha256") == F.col("c_candidate"))
     both = scope.distinct().withColumn("a", F.lit(1)).join(sheets.select("job_id", "id").distinct().withColumn("b", F.lit(1)), ["job_id", "id"], "full")
     regions = sheets.select("job_id", "id", F.explode("denseRegions").alias("d"))
     images = sheets.select("job_id", "id", F.explode(F.array("sourceImage", "candidateImage")).alias("name"))
     images = images.union(regions.select("job_id", "id", F.explode(F.array("d.sourceImage", "d.candidateImage"))))
     seen = images.join(files.select("job_id", "name", "is_png"), ["job_id", "name"], "left")
     return union([
-        broken(bound, 1, "RV1", F.col("sourceSha256") == F.col("m_source"), "job_id", "review of another source"),
-        broken(reviews, 2, "RV2", (F.size(F.coalesce("issues", empty)) == 0) & F.col("translationReviewed") & F.col("symbolsReviewed"), "job_id", "issues or unfinished review"),
+        broken(bound, 1, "RV1", named, "job_id", "review of another source or candidate"),
+        broken(reviews, 2, "RV2", F.col("issues").isNotNull() & (F.size("issues") == 0) & F.col("translationReviewed") & F.col("symbolsReviewed"), "job_id", "issues or unfinished review"),
         broken(reviews, 3, "RV3", F.size("sheets") > 0, "job_id", "no sheets"),
         broken(repeated(sheets, ["id"]), 3, "RV3", no, "id", "sheet repeats"),
         broken(both, 4, "RV4", F.col("a").isNotNull() & F.col("b").isNotNull(), "id", "sheets are not the scope"),
@@ -76,30 +79,33 @@ def delivery_rules(verified: DataFrame, files: DataFrame, sources: DataFrame, co
     return union(rules)
 
 
-# Fixed value: the separate copy that a verification opens.
-SEPARATE = "saved/input.dwg"
+# The drawing that is delivered, and the separate copy that a verification opens.
+CANDIDATE, SEPARATE = "candidate.dwg", "saved/input.dwg"
 
 
-def final_rules(tasks: DataFrame, mappings: DataFrame, receipts: DataFrame, saved: DataFrame, files: DataFrame) -> DataFrame:
+def final_rules(tasks: DataFrame, mappings: DataFrame, receipts: DataFrame, source: DataFrame, saved: DataFrame, files: DataFrame, originals: DataFrame, folders: DataFrame) -> DataFrame:
     """Violations that forbid a delivery: source, candidate and saved hashes, mode, languages, receipt and sheets.
 
-    files: (job_id, name, sha256), names relative to the job's folder. The saved snapshot must come from the job's separate copy of the candidate.
+    files: (job_id, name, sha256), names relative to the job's folder, candidate.dwg among them; originals: (job_id, sha256), of the
+    drawing that the task names as it is now; folders: (job_id, folder), absolute. The saved snapshot must come from the job's own separate
+    copy of the candidate; paths are compared by their steps, `.` and `..` resolved, links not. A receipt must state an empty list of errors.
     """
     pick = lambda df, s, *cols: df.select("job_id", *(F.col(c).alias(f"{s}_{c}") for c in cols))
-    all_ = tasks.join(pick(mappings, "m", "sourceSha256", "mode", "sourceLanguage", "targetLanguage", "scope"), "job_id", "left")
-    all_ = all_.join(pick(receipts, "r", "schemaVersion", "status", "errors", "candidatePath", "candidateSha256"), "job_id", "left")
-    all_ = all_.join(pick(saved, "v", "sourceSha256", "openedCandidateSha256", "cadInputSha256", "engine"), "job_id", "left")
-    all_ = all_.join(files.select("job_id", F.col("name").alias("r_candidatePath"), F.col("sha256").alias("f_sha256")), ["job_id", "r_candidatePath"], "left")
-    all_ = all_.join(files.where(F.col("name") == SEPARATE).select("job_id", F.col("sha256").alias("s_sha256")), "job_id", "left")
-    opened = F.regexp_replace(F.regexp_replace("v_engine.inputPath", r"\\+", "/"), r"/(\./)+", "/")
-    apart = opened.endswith(F.concat(F.lit("/"), F.col("job_id"), F.lit(f"/{SEPARATE}")))
+    all_ = tasks.join(pick(mappings, "m", "mode", "sourceLanguage", "targetLanguage", "scope"), "job_id", "left")
+    all_ = all_.join(pick(receipts, "r", "schemaVersion", "status", "errors", "candidateSha256"), "job_id", "left")
+    all_ = all_.join(pick(source, "x", "sourceSha256"), "job_id", "left").join(pick(originals, "o", "sha256"), "job_id", "left").join(pick(folders, "d", "folder"), "job_id", "left")
+    all_ = all_.join(pick(saved, "v", "openedCandidateSha256", "cadInputSha256", "engine"), "job_id", "left")
+    now = files.where(F.col("name").isin(CANDIDATE, SEPARATE)).groupBy("job_id").agg(*(F.max(F.when(F.col("name") == n, F.col("sha256"))).alias(c) for n, c in ((CANDIDATE, "f_sha256"), (SEPARATE, "s_sha256"))))
+    all_ = all_.join(now, "job_id", "left")
+    apart = text.path_steps(F.col("v_engine.inputPath")) == text.path_steps(F.concat("d_folder", F.lit(f"/{SEPARATE}")))
     ids = F.col("m_scope.sheetIds")
+    no_errors = F.col("r_errors").isNotNull() & (F.size("r_errors") == 0)
     return union([
-        broken(all_, 1, "FN1", (F.col("sourceSha256") == F.col("m_sourceSha256")) & (F.col("sourceSha256") == F.col("v_sourceSha256")), "job_id", "source hash"),
+        broken(all_, 1, "FN1", (F.col("sourceSha256") == F.col("o_sha256")) & (F.col("sourceSha256") == F.col("x_sourceSha256")), "job_id", "source hash"),
         broken(all_, 2, "FN2", (F.col("mode") == F.col("m_mode")) & (F.col("sourceLanguage") == F.col("m_sourceLanguage")) & (F.col("targetLanguage") == F.col("m_targetLanguage")), "job_id", "mode or languages"),
-        broken(all_, 3, "FN3", (F.col("r_schemaVersion") == 1) & (F.size(F.coalesce("r_errors", F.array().cast("array<string>"))) == 0) & (F.col("r_status") == "written-awaiting-verification"), "job_id", "receipt"),
-        broken(all_, 4, "FN4", F.col("v_openedCandidateSha256") == F.col("r_candidateSha256"), "job_id", "another file was opened"),
+        broken(all_, 3, "FN3", (F.col("r_schemaVersion") == 1) & no_errors & (F.col("r_status") == "written-awaiting-verification"), "job_id", "receipt"),
         broken(all_, 3, "FN3", F.col("f_sha256") == F.col("r_candidateSha256"), "job_id", "candidate changed or is missing"),
+        broken(all_, 4, "FN4", F.col("v_openedCandidateSha256") == F.col("f_sha256"), "job_id", "another file was opened"),
         broken(all_, 5, "FN5", apart & (F.col("s_sha256") == F.col("v_cadInputSha256")), "job_id", "the separate copy was not opened"),
         broken(all_, 6, "FN6", (F.size(ids) > 0) & (F.size(ids) == F.size(F.array_distinct(ids))), "job_id", "sheet ids"),
     ])

@@ -199,6 +199,15 @@ CHANGES = [
     ("SC4", lambda v: v["rows"][0].update(raw="Valve")),
     ("SC26", lambda v: v["rows"].append({**v["rows"][0], "handle": "FF"})),
     ("SC28", lambda v: v["rows"][1].update(box=[60, 0, 63, 2])),
+    (None, lambda v: v["rows"][1].update(handle="1b")),
+    ("GD10", lambda v: v["geometry"][0].update(linetype="dashed")),
+    ("GD10", lambda v: v["geometry"][0].update(note=None)),
+    ("GD10", lambda v: v["geometry"][0].pop("color")),
+    (None, lambda v: v["geometry"][0].update(color=1.0)),
+    ("GD9", lambda v: v["geometry"][0].update(block="*U3")),
+    ("GD9", lambda v: v["geometry"][0].pop("block")),
+    ("GD14", lambda v: v["instances"][0].update(columns=2)),
+    ("GD14", lambda v: v["instances"][0].update(origin=None)),
 ]
 
 
@@ -219,6 +228,62 @@ def test_saved_snapshots(spark, tmp_path):
     assert not wrong
 
 
+def test_attributes_that_no_schema_names(spark, tmp_path):
+    """Geometry in a block that neither side knows, extra attributes on both sides, and styles that differ in more than their fields."""
+
+    def both(mode, before, after):
+        s, m, v, r = generated("bilingual") if mode == "bilingual" else (snapshot(), mapping(), changed(lambda v: None), {"schemaVersion": 1, "additions": [], "reflows": []})
+        before(s)
+        before(v)
+        after(v)
+        return {"extracted": s, "mapping": m, "saved": v, "status": r}
+
+    lost = lambda x: x["geometry"][0].update(block="nowhere")
+    free = lambda x: x["geometry"][0].pop("block")
+    more = lambda x: x["geometry"][0].update(extra={"b": [1, {"c": None}], "a": 2.0})
+    angle = lambda x: x["styles"][0].update(obliquing=0)
+    cases = [
+        ({"GD9"}, "replace", lost, lambda v: None), (set(), "replace", free, lambda v: None), (set(), "replace", more, lambda v: v["geometry"][0].update(extra={"a": 2, "b": [1, {"c": None}]})),
+        ({"GD10"}, "replace", more, lambda v: v["geometry"][0]["extra"]["b"][1].clear()), ({"GD10"}, "replace", more, lambda v: v["geometry"][0]["extra"].update(a=2.0000001)),
+        (set(), "bilingual", angle, lambda v: v["styles"][0].update(obliquing=0.0)), ({"SC8"}, "bilingual", angle, lambda v: v["styles"][0].update(obliquing=15)), ({"SC8"}, "bilingual", angle, lambda v: v["styles"][0].pop("obliquing")),
+    ]
+    for i, (_, mode, before, after) in enumerate(cases):
+        write(tmp_path / f"case{i:02d}", **both(mode, before, after))
+    got = differences(spark, tmp_path)
+    assert [got.get(f"case{i:02d}", set()) for i in range(len(cases))] == [c[0] for c in cases]
+
+
+def test_circled_label_as_a_joined_text_of_its_own(spark, tmp_path):
+    """The label is found by the receipt's handle, in any case of letters."""
+    for i, box in enumerate(([50, 0, 53, 2], [60, 0, 63, 2])):
+        s, m, v = snapshot(), mapping(), changed(lambda v: None)
+        m["edits"][1].update(action="reflow-member", reflowGroup="g1")
+        m["reflows"] = [{"group": "g1", "sourceHandles": ["1b"], "block": "Model", "target": "P-101", "minReadableHeight": 2.0, "layoutPlan": {"region": [0, 0, 99, 99]}}]
+        v["rows"][1].update(handle="F7", box=box)
+        write(tmp_path / f"case{i:02d}", extracted=s, mapping=m, saved=v, status={"schemaVersion": 1, "additions": [], "reflows": [{"group": "g1", "handle": "f7"}]})
+    assert differences(spark, tmp_path) == {"case01": {"SC28"}}
+
+
+def test_saved_folder_belongs_to_its_job(spark, tmp_path):
+    write(tmp_path / "job9", extracted=snapshot())
+    write(tmp_path / "job9" / "saved", extracted=snapshot())
+    assert {r.job_id for n in ("job9/extracted.json", "job9/saved/extracted.json") for r in artifacts.snapshots(spark, f"{tmp_path}/{n}").collect()} == {"job9"}
+
+
+def test_equal_records_are_not_taken_apart(spark):
+    """Work on nodes follows the records that differ: one of a thousand."""
+    rows = spark.range(1000).select("id", F.parse_json(F.concat(F.lit('{"b": [1, 2, {"c": '), "id", F.lit('}], "a": {}}'))).alias("v"))
+    other = spark.range(1000).select("id", F.parse_json(F.concat(F.lit('{"a": {}, "b": [1, 2, {"c": '), F.when(F.col("id") == 7, 0).otherwise(F.col("id")), F.lit("}]}"))).alias("v"))
+    seen = []
+    whole = diff.leaves
+    try:
+        diff.leaves = lambda df, *a: (seen.append(df.count()), whole(df, *a))[1]
+        got = diff.unequal_shapes(rows, other, ["id"], "v").collect()
+    finally:
+        diff.leaves = whole
+    assert [(r.id, r.path.split(diff.STEP)) for r in got] == [(7, ["", "b", "2", "c"])] and seen == [2]
+
+
 def test_review(spark, tmp_path):
     folder = tmp_path / "pics"
     folder.mkdir()
@@ -226,13 +291,16 @@ def test_review(spark, tmp_path):
     (folder / "b.png").write_bytes(b"0" * 600)
     pics = artifacts.files(spark, str(folder)).select(F.lit("job1").alias("job_id"), F.regexp_extract("path", "[^/]+$", 0).alias("name"), "sha256", "is_png")
     m = load(spark, tmp_path, mapping(), schemas.MAPPING, "mapping.json")
-    good = {"sourceSha256": HASH_A, "translationReviewed": True, "symbolsReviewed": True, "issues": [], "sheets": [{"id": "s1", "reviewed": True, "sourceImage": "a.png", "candidateImage": "a.png", "denseRegions": [{"sourceImage": "a.png", "candidateImage": "a.png"}]}]}
-    assert evidence.review_rules(load(spark, tmp_path, good, schemas.REVIEW, "r.json"), m, pics).collect() == []
+    tasks, candidates = spark.createDataFrame([("job1", HASH_A)], "job_id string, sourceSha256 string"), spark.createDataFrame([("job1", "c")], "job_id string, candidateSha256 string")
+    broken = lambda review: {r.rule for r in evidence.review_rules(load(spark, tmp_path, review, schemas.REVIEW, "r.json"), tasks, candidates, m, pics).collect()}
+    good = {"sourceSha256": HASH_A, "candidateSha256": "c", "translationReviewed": True, "symbolsReviewed": True, "issues": [], "sheets": [{"id": "s1", "reviewed": True, "sourceImage": "a.png", "candidateImage": "a.png", "denseRegions": [{"sourceImage": "a.png", "candidateImage": "a.png"}]}]}
+    assert broken(good) == set()
+    assert broken({**good, "candidateSha256": "d"}) == broken({**good, "sourceSha256": HASH_B}) == broken({k: v for k, v in good.items() if k != "candidateSha256"}) == {"RV1"}
+    assert broken({k: v for k, v in good.items() if k != "issues"}) == broken({**good, "issues": None}) == broken({**good, "issues": ["open"]}) == {"RV2"}
     good["sheets"][0].update(candidateImage="b.png", sourceImage="c.png", denseRegions=[])
     good["sheets"].append({**good["sheets"][0], "id": "s9"})
     good.update(symbolsReviewed=False, sourceSha256=HASH_B)
-    got = {r.rule for r in evidence.review_rules(load(spark, tmp_path, good, schemas.REVIEW, "r.json"), m, pics).collect()}
-    assert got == {"RV1", "RV2", "RV4", "RV5", "RV6", "RV7"}
+    assert broken(good) == {"RV1", "RV2", "RV4", "RV5", "RV6", "RV7"}
 
 
 def test_delivery_is_numbered_and_checked(spark, tmp_path):

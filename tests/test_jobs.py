@@ -120,23 +120,30 @@ def test_documents_keep_order_and_header(spark, tmp_path):
 
 def test_final_rules(spark):
     task = {"job_id": "j", "sourceSha256": "s", "mode": "replace", "sourceLanguage": "a", "targetLanguage": "b"}
-    receipt = {"job_id": "j", "schemaVersion": 1, "status": "written-awaiting-verification", "errors": [], "candidatePath": "candidate.dwg", "candidateSha256": "c"}
+    receipt = {"job_id": "j", "schemaVersion": 1, "status": "written-awaiting-verification", "errors": [], "candidateSha256": "c"}
     saved = {"job_id": "j", "sourceSha256": "s", "openedCandidateSha256": "c", "cadInputSha256": "i", "engine": {"inputPath": r"D:\jobs\j\saved\input.dwg"}}
 
-    def broken(mapping=None, receipt_=None, saved_=None, copy_="i"):
+    def broken(mapping=None, receipt_=None, saved_=None, copy_="i", source="s", original="s", folder=r"D:\jobs\j"):
         one = lambda row, ddl: spark.createDataFrame([row], "job_id string, " + ddl)
         m = {**task, "scope": {"sheetIds": ["1", "2"]}, **(mapping or {})}
         files = spark.createDataFrame([("j", "candidate.dwg", "c"), ("j", "saved/input.dwg", copy_)], "job_id string, name string, sha256 string")
         snap = "sourceSha256 string, openedCandidateSha256 string, cadInputSha256 string, engine struct<inputPath:string>"
         names = "sourceSha256 string, mode string, sourceLanguage string, targetLanguage string"
-        out = evidence.final_rules(one(task, names), one(m, names + ", scope struct<sheetIds:array<string>>"), one({**receipt, **(receipt_ or {})}, "schemaVersion int, status string, errors array<string>, candidatePath string, candidateSha256 string"), one({**saved, **(saved_ or {})}, snap), files)
+        receipts = one({**receipt, **(receipt_ or {})}, "schemaVersion int, status string, errors array<string>, candidateSha256 string")
+        more = one({"job_id": "j", "sourceSha256": source}, "sourceSha256 string"), one({**saved, **(saved_ or {})}, snap), files, one({"job_id": "j", "sha256": original}, "sha256 string"), one({"job_id": "j", "folder": folder}, "folder string")
+        out = evidence.final_rules(one(task, names), one(m, names + ", scope struct<sheetIds:array<string>>"), receipts, *more)
         return sorted({r["rule"] for r in out.collect()})
 
     assert "engine" in schemas.SNAPSHOT
     assert broken() == []
     assert broken({"mode": "bilingual"}) == ["FN2"]
     assert broken(receipt_={"errors": ["x"]}) == ["FN3"]
-    assert broken(receipt_={"candidateSha256": "d"}) == ["FN3", "FN4"]
+    assert broken(receipt_={"errors": None}) == ["FN3"]
+    assert broken(receipt_={"candidateSha256": "d"}) == ["FN3"]
+    assert broken(saved_={"openedCandidateSha256": "d"}) == ["FN4"]
+    assert broken(source="t") == broken(original="t") == broken(original=None) == ["FN1"]
+    assert broken(folder=r"D:\elsewhere\j") == ["FN5"]
+    assert broken(saved_={"engine": {"inputPath": r"D:\jobs\.\k\..\j/saved\input.dwg"}}) == []
     assert broken(saved_={"engine": {"inputPath": "/jobs/j/input.dwg"}}) == ["FN5"]
     assert broken(saved_={"engine": None}) == ["FN5"]
     assert broken(copy_="changed") == ["FN5"]
