@@ -121,8 +121,9 @@ def text_buffer(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node that has an edge.
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node that has an edge. After a given number of rounds
+    only, some node reachable that many others have as well.
 
     Alternating large-star and small-star rounds. Each is an aggregation with partial sums and a
     join on the node, so a hub is pre-aggregated and its rows can be split; no links reach the driver.
@@ -130,8 +131,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = cut(
         edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     )
-    sign = _signature(now)
+    sign = None if rounds else _signature(now)
+    turn = 0
     while True:
+        turn += 1
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -144,15 +147,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         after = cut(small)
-        sign2 = _signature(after)
+        sign2 = None if rounds else _signature(after)
         drop(now)
         now = after
-        if sign2 == sign:
+        if turn == rounds or not rounds and sign2 == sign:
             break
         sign = sign2
-    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    nodes = now.select("u", "v").union(now.select(F.col("v").alias("u"), "v"))
+    return nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
 def _signature(edges: DataFrame) -> tuple:

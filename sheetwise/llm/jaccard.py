@@ -37,6 +37,8 @@ HOT = 16
 BUNDLE = 1 << 18
 #: Links tried per document in a round before whole lists are compared, and rounds at most. Neither changes the result.
 PIVOTS, ROUNDS = 3, 5
+#: Star rounds that group the sets linked so far before the next round; the last grouping is whole.
+STARS = 2
 #: Members of a list that meet in one piece of a join; longer lists are dealt out in blocks.
 BLOCK = 1024
 #: Distinct sets that a task remembers to list copies once; then it starts anew.
@@ -445,13 +447,12 @@ def similar(docs: DataFrame) -> DataFrame:
         found = links[-1].count()
         first = first or found
         if parts is None or found:
-            parts = cut(components(_all(links)))
+            parts = cut(components(_all(links), rounds=STARS))  # equal labels are linked sets, which is all that the next round needs
         if found <= first // 100:
             break
     more = cut(_rest(lists, parts, known, _both_ways(_all(tried))))
     links.append(cut(_check(more, bodies)))
-    if links[-1].limit(1).count():
-        parts = cut(components(_all(links)))
+    parts = cut(components(_all(links)))
     drop(bodies, lists, known, more, *tried, *links)
     member = owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
     each = member.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"))
