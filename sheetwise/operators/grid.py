@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.numbers import finite, transform_point
-from sheetwise.session import recursive
+from sheetwise.session import cut
 from sheetwise.sources.artifacts import section
 
-from .closure import DEPTH
+from .closure import peel
 from .units import straight
 
 
@@ -36,33 +36,28 @@ def references(geometry: DataFrame, blocks: DataFrame) -> DataFrame:
     return made.join(names, ["job_id", "definition"]).drop("definition")
 
 
-def expanded(snapshots: DataFrame, depth: int = DEPTH) -> DataFrame:
+def expanded(snapshots: DataFrame) -> DataFrame:
     """(job_id, block, a, b): each block's own edges and those of all blocks it refers to, in its coordinates.
 
-    A point goes through the matrices one by one, innermost first. A matrix that is not 16 finite
-    numbers and a cycle of references are errors.
+    Blocks are expanded by levels, the innermost first, so one that many refer to is expanded once, and a point goes
+    through the matrices one by one. A matrix that is not 16 finite numbers and a cycle of references are errors.
     """
     geometry, blocks = section(snapshots, "geometry"), section(snapshots, "blocks")
-    own, refs = segments(geometry), references(geometry, blocks)
+    own, refs = cut(segments(geometry)), cut(references(geometry, blocks))
     bad = refs.where(~F.coalesce((F.size("matrix") == 16) & F.forall("matrix", finite), F.lit(False))).select("handle").first()
     if bad:
         raise ValueError(f"matrix of block reference {bad.handle} needs review")
-    placed = recursive(snapshots.sparkSession).sql(
-        f"""WITH RECURSIVE placed(job_id, owner, block, path, moves, cyclic) MAX RECURSION LEVEL {depth} AS (
-              SELECT job_id, parent, child, array(parent, child), array(matrix), parent = child FROM {{refs}}
-              UNION ALL
-              SELECT p.job_id, p.owner, r.child, array_append(p.path, r.child), array_prepend(p.moves, r.matrix), array_contains(p.path, r.child)
-              FROM placed p JOIN {{refs}} r ON r.job_id = p.job_id AND r.parent = p.block WHERE NOT p.cyclic)
-            SELECT * FROM placed""",
-        refs=refs,
-    )
-    loop = placed.where("cyclic").select("block").first()
+    levels, loops = peel(refs, ["job_id"])
+    loop = loops.select("parent").first()
     if loop:
-        raise ValueError(f"cyclic references of block {loop.block}")
+        raise ValueError(f"cyclic references of block {loop.parent}")
     z = lambda p: F.coalesce(F.get(p, F.lit(2)), F.lit(0.0))
-    step = lambda p, m: transform_point(m, F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2)))
-    moved = lambda c: F.aggregate("moves", F.array(F.get(c, F.lit(0)), F.get(c, F.lit(1)), z(c)), step).alias(c)
-    return own.union(placed.join(own, ["job_id", "block"]).select("job_id", F.col("owner").alias("block"), moved("a"), moved("b")))
+    moved = lambda c: transform_point(F.col("matrix"), F.get(c, F.lit(0)), F.get(c, F.lit(1)), z(c)).alias(c)
+    out = own
+    for parents in levels:
+        placed = refs.join(parents, ["job_id", "parent"], "left_semi").join(out.withColumnRenamed("block", "child"), ["job_id", "child"])
+        out = out.union(cut(placed.select("job_id", F.col("parent").alias("block"), moved("a"), moved("b"))))
+    return out
 
 
 def barriers(snapshots: DataFrame) -> DataFrame:

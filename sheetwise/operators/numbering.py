@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetwise.session import cut
 
-def number_rows(df: DataFrame, coarse: list[Column], fine: list[Column], name: str = "number") -> DataFrame:
-    """Adds 1, 2, ... in the order of coarse, then fine columns.
+#: Bits of Spark's increasing ids that count inside a partition.
+INSIDE = 33
 
-    Rows are numbered inside each coarse group and shifted by the sizes of the groups before it, so
-    only a row for each coarse group meets in one task. The two orders together should be total.
+
+def number_rows(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """Adds 1, 2, ... in an order that should be total; of rows that tie any may come first.
+
+    Rows go to ranges of the order, so a crowded value of the first column is parted by the next ones. They are written once,
+    numbered in their range, and shifted by the sizes of the ranges before: one row for each range meets in one task.
     """
-    keys = [f"_c{i}" for i in range(len(coarse))]
-    df = df.withColumns(dict(zip(keys, coarse)))
-    before = Window.orderBy(*(F.col(k).asc_nulls_first() for k in keys)).rowsBetween(Window.unboundedPreceding, -1)
-    groups = df.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    groups = groups.select(*(F.col(k).alias(f"_g{k}") for k in keys), "_shift")
-    inside = Window.partitionBy(*keys).orderBy(*fine)
-    out = df.withColumn("_row", F.row_number().over(inside))
-    same = [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys]
-    return out.join(groups, same).withColumn(name, F.col("_row") + F.col("_shift")).drop(*keys, *(f"_g{k}" for k in keys), "_row", "_shift")
+    ranges = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_number_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_number_at", INSIDE)
+    before = Window.orderBy("_number_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = ranges.groupBy(part.alias("_number_part")).agg(F.count("*").alias("_n")).select("_number_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_number_shift"))
+    out = ranges.join(F.broadcast(shifts), part == F.col("_number_part"))
+    return out.withColumn(name, F.col("_number_shift") + F.col("_number_at").bitwiseAND((1 << INSIDE) - 1) + 1).drop("_number_at", "_number_part", "_number_shift")

@@ -32,7 +32,7 @@ def _sided(spans: DataFrame, side: str, on: list[str]) -> DataFrame:
 )
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _spans(spark, sf_dir).drop("event_type")
-    pairs = overlap.range_join(_sided(s, "a", ["user_id"]), _sided(s, "b", ["user_id"]), ["user_id"], ("lo_a", "hi_a"), ("lo_b", "hi_b"), 240.0)
+    pairs = overlap.range_join(_sided(s, "a", ["user_id"]), _sided(s, "b", ["user_id"]), ["user_id"], ("lo_a", "hi_a"), ("lo_b", "hi_b"))
     return pairs.where("event_id_a < event_id_b").select("user_id", F.col("event_id_a").alias("a"), F.col("event_id_b").alias("b"))
 
 
@@ -44,7 +44,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlap_one_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _spans(spark, sf_dir)
-    pairs = overlap.range_join(_sided(s.where("event_type = 'purchase'"), "a", ["user_id"]), _sided(s, "b", ["user_id"]), ["user_id"], ("lo_a", "hi_a"), ("lo_b", "hi_b"), 240.0)
+    pairs = overlap.range_join(_sided(s.where("event_type = 'purchase'"), "a", ["user_id"]), _sided(s, "b", ["user_id"]), ["user_id"], ("lo_a", "hi_a"), ("lo_b", "hi_b"))
     return pairs.where("event_id_a <> event_id_b").groupBy(F.col("event_id_a").alias("event_id")).agg(F.count("*").alias("hits"))
 
 
@@ -56,7 +56,7 @@ def overlap_one_vs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlap_by_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, on = _spans(spark, sf_dir), ["event_type", "user_id"]
-    pairs = overlap.range_join(_sided(s, "a", on), _sided(s, "b", on), on, ("lo_a", "hi_a"), ("lo_b", "hi_b"), 240.0)
+    pairs = overlap.range_join(_sided(s, "a", on), _sided(s, "b", on), on, ("lo_a", "hi_a"), ("lo_b", "hi_b"))
     return pairs.where("event_id_a < event_id_b").groupBy(F.col("event_type").alias("root"), "user_id").agg(F.count("*").alias("pairs"))
 
 
@@ -149,7 +149,7 @@ def anchored_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive ids in the order of source and document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    numbered = numbering.number_rows(docs, [F.col("source"), F.floor(F.col("doc_id") / 4096)], [F.col("doc_id")])
+    numbered = numbering.number_rows(docs, [F.col("source").asc_nulls_first(), F.col("doc_id")])
     return numbered.select("doc_id", F.format_string("unit-%06d", "number").alias("id"))
 
 
@@ -170,7 +170,7 @@ def recursive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = nation.select(name("R", "n_regionkey").alias("parent"), name("N", "n_nationkey").alias("child"), F.lit(0.5).alias("scale"), (F.col("n_nationkey") * 10.0).alias("shift"))
     edges = edges.union(customer.select(name("N", "c_nationkey"), name("C", "c_custkey"), F.lit(0.25), (F.col("c_custkey") % 17) * 1.0))
     placed = closure.closure(edges, region.select(name("R", "r_regionkey").alias("id")))
-    return placed.select("owner", "block", "scale", "shift", (F.size("path") - 1).alias("depth"))
+    return placed.select("owner", "block", "scale", "shift", "depth")
 
 
 @register(
@@ -184,8 +184,7 @@ def cycle_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of references that meet a block twice."""
     nation = table(spark, sf_dir, "nation")
     edges = nation.selectExpr("n_nationkey AS parent", "(n_nationkey * 7 + 3) % 25 AS child", "1.0D AS scale", "0.0D AS shift")
-    placed = closure.closure(edges, nation.selectExpr("n_nationkey AS id"))
-    return placed.where("cyclic").select("owner", F.col("block").alias("meets"), (F.size("path") - 1).alias("steps"))
+    return closure.endless(edges, nation.selectExpr("n_nationkey AS id"))
 
 
 # ---- text and numbers ----

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Planner settings that hold at any size. Partition counts are left to the deployment and AQE.
@@ -36,3 +39,33 @@ def recursive(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, by any path Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors see, in spark.checkpoint.dir; only where one machine does all the work may that be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = getattr(spark, "_sheetwise_dir", None) or tempfile.mkdtemp(prefix="sheetwise-")
+        spark._sheetwise_dir = base
+    return f"{base.rstrip('/')}/sheetwise-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to a shared table and reads them back: the lineage ends at files that outlive executors."""
+    path = shared_dir(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sheetwise_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of cut() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_sheetwise_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
