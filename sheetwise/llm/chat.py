@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that must never stand unescaped inside a text.
 CONTROL = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -200,20 +202,23 @@ def render(df: DataFrame) -> DataFrame:
             *(size(p[c]).cast("long").alias(f"{c}_{unit}") for c in ("r", "x") for size, unit in ((F.length, "points"), (F.octet_length, "bytes"))),
         ),
     )
-    whole = lambda unit: F.transform("_parts", lambda p: p[f"r_{unit}"] + p[f"x_{unit}"] + marks + tail)
-    df = df.withColumn("_parts", sized).withColumns({f"_{u}": _before(whole(u)) for u in ("points", "bytes")})
-    each = F.arrays_zip("_parts", "_points", "_bytes")
+    made = fresh("_parts", df)
+    df = df.withColumn(made, sized)
+    whole = lambda unit: F.transform(made, lambda p: p[f"r_{unit}"] + p[f"x_{unit}"] + marks + tail)
+    before = {u: fresh(f"_{u}", df) for u in ("points", "bytes")}
+    df = df.withColumns({c: _before(whole(u)) for u, c in before.items()})
+    each = F.arrays_zip(made, *before.values())
 
     def span(z: Column) -> Column:
-        p = z["_parts"]
+        p = z[made]
         ends = []
         for unit, a, b in (("points", "start", "end"), ("bytes", "first", "last")):
-            at = z[f"_{unit}"] + p[f"r_{unit}"] + marks
+            at = z[before[unit]] + p[f"r_{unit}"] + marks
             ends += [at.alias(a), (at + p[f"x_{unit}"]).alias(b)]
         return F.struct(*ends)
 
-    spans = F.transform(F.filter(each, lambda z: z["_parts"]["loss"]), span)
-    return df.withColumns({"formatted": F.array_join(F.transform("_parts", lambda p: p["s"]), ""), "loss_spans": spans}).drop("_parts", "_points", "_bytes")
+    spans = F.transform(F.filter(each, lambda z: z[made]["loss"]), span)
+    return df.withColumns({"formatted": F.array_join(F.transform(made, lambda p: p["s"]), ""), "loss_spans": spans}).drop(made, *before.values())
 
 
 def parse(formatted: Column) -> Column:

@@ -90,6 +90,14 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, size: str, total: i
     return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, or a longer one that no column of the frames has, whatever the case of its letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after Arrow batches were brought to BATCH_ROWS rows where the session has Spark's default of 10000.
 

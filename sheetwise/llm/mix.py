@@ -72,6 +72,9 @@ def inclusion(sizes: DataFrame, goal: DataFrame) -> DataFrame:
     return each.select("source", "g", F.when(F.col("sure"), 1.0).otherwise(F.coalesce(F.least(part, F.lit(1 - 1e-12)), F.lit(0.0))).alias("p"), "rest")
 
 
+RESULT = ("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def mix(docs: DataFrame, seed: str = "mix", limit: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken for every row, plus the columns in keep.
 
@@ -86,8 +89,7 @@ def mix(docs: DataFrame, seed: str = "mix", limit: int = 3, keep: tuple[str, ...
     each other, an empty table gives no rows. Columns of `keep` that clash with the result's get the prefix in_. Other columns are not read.
     """
     count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    kept = [F.col(c).alias(f"_{c}") for c in keep]
-    sized = cut(docs.select("doc_id", "source", count.alias("size"), *kept))
+    sized = cut(docs.select("doc_id", "source", count.alias("size"), *([F.struct(*keep).alias("_kept")] if keep else [])))  # one column, so that no name clashes
     goal = targets(sized.select("source", "size"), limit=limit)
     goal = cut(goal.withColumn("whole", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))))
     each = inclusion(sized.select("source", "size"), goal.select("source", "source_size", "target", "whole"))
@@ -109,4 +111,4 @@ def mix(docs: DataFrame, seed: str = "mix", limit: int = 3, keep: tuple[str, ...
     edge = ranked.where("q IS NOT NULL AND bucket = edge").withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("hit", F.col("at") + F.col("size") / 2.0 <= F.col("rest")).drop("at")
     out = sure.unionByName(edge).withColumn("copies", (F.col("whole") + F.col("hit").cast("int")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(F.col(f"_{c}").alias(c) if c not in ("doc_id", "size", "source_size", "target", "copies", "taken") else F.col(f"_{c}").alias(f"in_{c}") for c in keep))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(F.col("_kept").getField(c).alias(f"in_{c}" if c in RESULT else c) for c in keep))

@@ -20,7 +20,7 @@ DEGREE, TREES, LEAF = 48, 8, 64
 SAMPLE = 4096
 #: The descent ends with the first round that changes less than this share of the graph.
 CHANGE = 0.02
-#: Nodes that a search keeps. It ends when all of them are open; those are scored exactly.
+#: Nodes that a search keeps at least, and as many as are asked for. It ends when all of them are open; those are scored exactly.
 BEAM = 32
 
 _GRAPH = "node long, ids array<long>, sims array<double>"
@@ -163,8 +163,8 @@ def merge(lists: DataFrame, k: int = DEGREE) -> DataFrame:
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _GRAPH)
 
 
-def _descend(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
-    """Candidate lists from one round: at each node its neighbours, and as many nodes it is a neighbour of, meet each other.
+def _descend(graph: DataFrame, codes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate lists from one round, and a table that they are read from: at each node its neighbours, and as many nodes it is a neighbour of, meet each other.
 
     A pair is passed on to a member whose worst neighbour it beats. A hub, which is in very many lists, is a popular key of a
     join of two plain tables, which can be split; of the nodes that it is a neighbour of, each task passes on DEGREE at most.
@@ -198,7 +198,7 @@ def _descend(graph: DataFrame, codes: DataFrame, kind: str) -> DataFrame:
                 who, counts, other, sim = best(np.concatenate(a), np.concatenate(b), np.concatenate(sims), DEGREE)
                 yield pa.RecordBatch.from_arrays([pa.array(who), _lists(other, counts, pa.int64()), _lists(sim, counts, pa.float64())], ["node", "ids", "sims"])
 
-    return members.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _GRAPH)
+    return members.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _GRAPH), state
 
 
 def build(points: DataFrame, kind: str, watch: Callable[[DataFrame], None] | None = None) -> DataFrame:
@@ -211,7 +211,9 @@ def build(points: DataFrame, kind: str, watch: Callable[[DataFrame], None] | Non
     while True:
         if watch:
             watch(graph)
-        after = cut(merge(graph.union(_descend(graph, codes, kind))))
+        lists, state = _descend(graph, codes, kind)
+        after = cut(merge(graph.union(lists)))
+        drop(state)
         old = graph.select(F.col("node").alias("_n"), F.col("ids").alias("old"))
         change = after.join(old, F.col("node") == F.col("_n")).agg(F.sum(F.size(F.array_except("ids", "old"))), F.sum(F.size("ids"))).first()
         drop(graph)
@@ -222,17 +224,17 @@ def build(points: DataFrame, kind: str, watch: Callable[[DataFrame], None] | Non
             return graph
 
 
-def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str) -> DataFrame:
+def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str, beam: int = BEAM) -> DataFrame:
     """(query, ids, sims): greedy search from each query's own node, `starts` (query, code).
 
-    Each hop opens those of a query's BEAM best nodes that are not open yet and scores their neighbours. The search ends when
-    all queries' BEAM best nodes are open; pools only get better, so it does.
+    Each hop opens those of a query's `beam` best nodes that are not open yet and scores their neighbours. The search ends when
+    all queries' `beam` best nodes are open; pools, of twice as many, only get better, so it does.
     """
     links = graph.select("node", "ids")
     none = lambda c, kind: F.coalesce(c, F.expr(f"cast(array() AS array<{kind}>)")).alias(c)
     pool = cut(starts.join(graph, F.col("query") == F.col("node"), "left").select("query", none("ids", "long"), none("sims", "double"), F.expr("cast(array(query) AS array<long>)").alias("open")))
     while True:
-        front = pool.select("query", F.explode(F.array_except(F.slice("ids", 1, BEAM), "open")).alias("node"))
+        front = pool.select("query", F.explode(F.array_except(F.slice("ids", 1, beam), "open")).alias("node"))
         seen = front.join(links, "node").select("query", F.explode("ids").alias("node")).distinct().where("query <> node")
         rows = (
             seen.join(codes, "node").select("query", F.lit(1).alias("kind"), "node", "code", *_no_lists())
@@ -253,11 +255,11 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str) ->
                     me = next(code[int(i)].as_py() for i in head if code[int(i)].is_valid)
                     old = next(int(i) for i in head if ids[int(i)].is_valid)
                     had, sims = np.array(ids[old].as_py(), np.int64), np.array(own.column("sims")[old].as_py(), np.float64)
-                    opened = np.union1d(np.array(own.column("open")[old].as_py(), np.int64), had[:BEAM])
+                    opened = np.union1d(np.array(own.column("open")[old].as_py(), np.int64), had[:beam])
                     rest = [(n, c) for n, c in zip(own.column("node").to_pylist(), code.to_pylist()) if n is not None and len(c) == len(me)]
                     node = np.array([n for n, _ in rest], np.int64)
                     s = decode([c for _, c in rest], form) @ decode([me], form)[0] if rest else np.zeros(0)
-                    _, _, node, s = best(np.zeros(len(had) + len(node)), np.append(had, node), np.append(sims, s), 2 * BEAM)
+                    _, _, node, s = best(np.zeros(len(had) + len(node)), np.append(had, node), np.append(sims, s), 2 * beam)
                     for column, value in zip(out, (int(query[lo]), node, s, opened)):
                         column.append(value)
                 lens = lambda c: np.array(list(map(len, c)))
@@ -269,7 +271,7 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, form: str) ->
         after = cut(rows.repartition("query").sortWithinPartitions("query", "kind").mapInArrow(hop, "query long, ids array<long>, sims array<double>, open array<long>"))
         drop(pool)
         pool = after
-        if not pool.where(F.size(F.array_except(F.slice("ids", 1, BEAM), "open")) > 0).limit(1).count():
+        if not pool.where(F.size(F.array_except(F.slice("ids", 1, beam), "open")) > 0).limit(1).count():
             return pool
 
 
@@ -294,8 +296,9 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     asked = queries.select(F.col("node").alias("query")).distinct()
     codes = points.select("node", "code")
     starts = cut(asked.join(codes, F.col("query") == F.col("node")).select("query", "code"))
-    found = search(starts, graph, codes, kind)
-    pairs = found.select("query", F.explode(F.slice("ids", 1, 2 * BEAM)).alias("node")).union(starts.select("query", F.col("query").alias("node")))
+    beam = max(BEAM, k)
+    found = search(starts, graph, codes, kind, beam)
+    pairs = found.select("query", F.explode(F.slice("ids", 1, 2 * beam)).alias("node")).union(starts.select("query", F.col("query").alias("node")))
     body = points.select("node", "vector")
     pairs = pairs.join(body, "node").join(body.select(F.col("node").alias("query"), F.col("vector").alias("of")), "query")
 

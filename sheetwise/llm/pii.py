@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sample_rows, small_batches
+from .common import fresh, pieces, sample_rows, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -248,7 +248,7 @@ def train(texts: list[str], rounds: int = 150, rate: float = 0.5, ridge: float =
 
 
 def added_spans(texts: list[str], bases: list[list[Span]], field: Field, sure: float = SURE) -> list[list[Span]]:
-    """Spans of tokens outside base spans whose kind is sure and that a skip link ties to a base span's group."""
+    """Spans of tokens outside base spans whose kind is sure and that a skip link ties to a repeated or similar token, in a base span or not."""
     out: list[list[Span]] = [[] for _ in texts]
     g = graph(texts, bases)
     if not len(g.x) or not len(g.skip):
@@ -289,11 +289,12 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), red
     if redact:
         schema = schema.add("text", "string")
     nothing = hashlib.sha256(b"").hexdigest()
+    whole = fresh("_text", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text"):
-                texts = [t or "" for t in part.column("_text").to_pylist()]
+            for part in pieces(batch, whole):
+                texts = [t or "" for t in part.column(whole).to_pylist()]
                 n = len(texts)
                 busy = [i for i, t in enumerate(texts) if _ANY.search(t)]
                 counts = np.zeros((n, len(KINDS)), np.int64)
@@ -309,10 +310,10 @@ def find(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), red
                         texts[i] = masked(text, base + more)
                 cols = [part.column(c) for c in kept] + [pa.array(counts[:, j]) for j in range(len(KINDS))] + [pa.array(digest), pa.array(spans)]
                 if redact:
-                    cols.append(pa.array([t if v.is_valid else None for t, v in zip(texts, part.column("_text"))], pa.string()))
+                    cols.append(pa.array([t if v.is_valid else None for t, v in zip(texts, part.column(whole))], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return small_batches(docs).select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return small_batches(docs).select(*kept, F.col("text").alias(whole)).mapInArrow(run, schema)
 
 
 def masked(text: str, spans: list[Span]) -> str:

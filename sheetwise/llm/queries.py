@@ -157,10 +157,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+#: Parts in which the documents arrive, by doc_id.
+ARRIVALS = 12
+
+
 @register("op4_shard_compaction")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as small arriving shards, compacted; a row for each document with its shard in the final manifest."""
-    _, rows = shards.shard(table(spark, sf_dir, "documents"), shared_dir(spark))
+    """All documents as arrivals of small shards, compacted as they come; a row for each document with its shard in the final manifest."""
+    _, rows = shards.shard(shards.arrivals(table(spark, sf_dir, "documents"), "doc_id", ARRIVALS), shared_dir(spark))
     text = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     return rows.select("doc_id", F.col("_shard").alias("shard"), F.col("_shard_bytes").alias("shard_bytes"), F.col("_version").alias("version"), text)
 
@@ -216,8 +220,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
         told AS (
           SELECT *, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0,
-                 CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
-                      WHEN right(regexp_replace(text, '[ 	-]+$', ''), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f
+                 CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                      WHEN right(regexp_replace(text, '[ 	-
+]+$', ''), 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS f
           FROM placed),
         counts AS (
           SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,

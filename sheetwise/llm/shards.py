@@ -12,7 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh
 
 #: Bytes of a finished shard, runs of one tier that trigger a merge, and the ratio between tiers.
 TARGET, FANOUT, RATIO = 256 << 20, 4, 4
@@ -113,8 +113,12 @@ class ShardStore:
         folder = f"runs/{version:08d}-{uuid.uuid4().hex}"
         writer = df.write.option("compression", "zstd")
         (writer.option("maxRecordsPerFile", rows) if rows else writer).parquet(f"{self.path}/{folder}")
-        files = [f for f in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if f.getPath().getName().startswith("part-")]
-        return [Shard(f"{folder}/{f.getPath().getName()}", f.getLen(), version) for f in files]
+        files = {f.getPath().getName(): f.getLen() for f in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if f.getPath().getName().startswith("part-")}
+        name = F.col("_metadata.file_name")
+        full = {r["name"] for r in self.spark.read.parquet(f"{self.path}/{folder}").groupBy(name.alias("name")).count().collect()} if files else set()  # a row for each file, from the footers
+        for empty in files.keys() - full:
+            self._fs.delete(self._path(f"{self.path}/{folder}/{empty}"), False)
+        return [Shard(f"{folder}/{f}", files[f], version) for f in sorted(full)]
 
     def append(self, df: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
         """Adds the rows as small shards, a few for each input partition, without a shuffle."""
@@ -177,24 +181,38 @@ def merge_groups(shards: list[Shard], target: int, fanout: int = FANOUT) -> list
     return [own for _, own in sorted(tiers.items()) if len(own) >= fanout or len(own) > 1 and sum(s.bytes for s in own) >= target]
 
 
-def shard(docs: DataFrame, path: str, target: int = TARGET, rows: int = ARRIVAL_ROWS, fanout: int = FANOUT) -> tuple[ShardStore, DataFrame]:
-    """Appends all rows, compacts until nothing is left to merge, and returns the store and its rows. The last KEEP versions stay.
+def arrivals(docs: DataFrame, key: str, n: int) -> list[DataFrame]:
+    """docs in n parts by ranges of a key, about equally many keys each; rows without a key come first, and a part may be empty."""
+    ends = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    ends = sorted(set(ends or []))  # n - 1 numbers
+    k = F.col(key)
+    if not ends:
+        return [docs]
+    return [docs.where(k.isNull() | (k <= ends[0])), *(docs.where((k > a) & (k <= b)) for a, b in zip(ends, ends[1:])), docs.where(k > ends[-1])]
+
+
+def shard(docs: DataFrame | list[DataFrame], path: str, target: int = TARGET, rows: int = ARRIVAL_ROWS, fanout: int = FANOUT) -> tuple[ShardStore, DataFrame]:
+    """Appends all rows, or several arrivals one by one, compacts after each until nothing is left to merge, and returns the store and its rows.
+    The last KEEP versions stay.
 
     The rows are those of docs, nulls, repeats and extra columns included, with `_shard`, the number of the shard in the final manifest,
     `_shard_bytes` and `_version`; columns of docs with these names are replaced. An empty table commits an empty version.
     """
-    spark = docs.sparkSession
+    parts = [d.drop("_shard", "_shard_bytes", "_version") for d in (docs if isinstance(docs, list) else [docs])]
+    docs, spark = parts[0], parts[0].sparkSession
     store = ShardStore(spark, path)
-    docs = docs.drop("_shard", "_shard_bytes", "_version")
-    store.append(docs, rows)
-    while store.compact(target, fanout) is not None:
-        store.expire()
+    for part in parts:
+        store.append(part, rows)
+        while store.compact(target, fanout) is not None:
+            store.expire()
     files = store.shards()
     version = store.versions()[-1]
     if not files:
         out = docs.limit(0).withColumns({"_shard": F.lit(0), "_shard_bytes": F.lit(0).cast("long"), "_version": F.lit(version)})
         return store, out
     # a row for each file, as a table of known size: the planner sends it whole only below its own bound
-    listed = cut(spark.createDataFrame([(s.path, i, s.bytes) for i, s in enumerate(files)], "_path string, _shard int, _shard_bytes long"))
-    rows_in = store.read().withColumn("_file", F.regexp_extract(F.col("_metadata.file_path"), r"(runs/[^/]+/[^/]+)$", 1))
-    return store, rows_in.join(listed, F.col("_file") == F.col("_path")).drop("_file", "_path").withColumn("_version", F.lit(version))
+    rows_in = store.read()
+    at, name = fresh("_path", docs), fresh("_file", docs)
+    listed = cut(spark.createDataFrame([(s.path, i, s.bytes) for i, s in enumerate(files)], f"`{at}` string, _shard int, _shard_bytes long"))
+    rows_in = rows_in.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), r"(runs/[^/]+/[^/]+)$", 1))
+    return store, rows_in.join(listed, F.col(name) == F.col(at)).drop(name, at).withColumn("_version", F.lit(version))

@@ -105,3 +105,10 @@ def test_long_text(spark):
     df = spark.createDataFrame([(1, 0, "assistant", t)], "conv_id long, turn long, role string, text string")
     loss = chat.render(chat.to_turns(df)).select(F.sha2(chat.loss_text(F.col("formatted"), F.col("loss_spans")).cast("binary"), 256)).first()[0]
     assert loss == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_columns_of_any_name_stay(spark):
+    rows, df = turn_rows(spark)
+    extra = chat.to_turns(df).withColumns({c: F.lit(i) for i, c in enumerate(("_parts", "_points", "_BYTES"))})
+    r = chat.render(extra).first()
+    assert (r._parts, r._points, r._BYTES) == (0, 1, 2) and r.formatted

@@ -114,3 +114,11 @@ def test_certain_copies_leave_the_ranking(spark):
 
 def test_empty(spark):
     assert mix.mix(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_kept_columns_of_any_name(spark):
+    names = ("of", "g", "p", "q", "u", "rest", "bucket", "taken", "_kept", "source", "whole")
+    df = spark.createDataFrame([(i, "ab"[i % 2], "w " * (i + 1), *(10 * i + k for k in range(len(names) - 2))) for i in range(8)], "doc_id long, source string, text string, " + ", ".join(f"`{n}` int" for n in names if n not in ("source", "whole")))
+    df = df.withColumn("whole", df.of)
+    for r in mix.mix(df, keep=names).collect():
+        assert (r["of"], r["g"], r["in_taken"], r["source"], r["whole"]) == (10 * r.doc_id, 10 * r.doc_id + 1, 10 * r.doc_id + 7, "ab"[r.doc_id % 2], 10 * r.doc_id)

@@ -109,3 +109,15 @@ def test_recall_among_near_copies(spark):
     want = brute(rows, every=40)
     crowd = {q: own for q, own in want.items() if 1000 <= q < 4000}
     assert recall(got, want) >= 0.9 and recall({q: got[q] for q in crowd}, crowd) >= 0.9
+
+
+def test_more_neighbours_than_the_usual_beam(spark):
+    """All that are asked for come back, and nearly all of them right."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], 0) for i in range(600)]
+    got = neighbours.nearest(spark.createDataFrame(rows, SCHEMA), 100, 100).collect()
+    want = brute([(i, np.array(v, np.float32).tolist()) for i, v, _ in rows], 100, 100)
+    for q, best in want.items():
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, 101))
+        assert len({r.vec_id for r in own} & {v for v, _ in best}) >= 90

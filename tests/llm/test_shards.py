@@ -120,3 +120,26 @@ def test_query(spark, sf):
 def test_empty(spark):
     _, rows = shards.shard(docs(spark).where("false"), shared_dir(spark))
     assert rows.collect() == []
+
+
+def test_columns_of_any_name_survive(spark):
+    df = spark.createDataFrame([(i, f"t{i}", f"p{i}", i * 2) for i in range(20)], "doc_id long, text string, _path string, _file long")
+    _, rows = shards.shard(df, shared_dir(spark))
+    assert sorted((r.doc_id, r.text, r._path, r._file) for r in rows.collect()) == sorted(map(tuple, df.collect()))
+
+
+def test_arrivals_are_merged_as_they_come(spark, sf, monkeypatch):
+    """The query's arrivals lead to merges and expiries, hold each row once, and no file is empty."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    parts = shards.arrivals(docs, "doc_id", 12)
+    assert len(parts) == 12 and all(p.count() for p in parts) and sum(p.count() for p in parts) == docs.count()
+    merges, expired = [], []
+    compact, expire = shards.ShardStore.compact, shards.ShardStore.expire
+    monkeypatch.setattr(shards.ShardStore, "compact", lambda *a: (lambda v: merges.append(v) or v)(compact(*a)))
+    monkeypatch.setattr(shards.ShardStore, "expire", lambda self, *a: (lambda before: (expire(self, *a), expired.append(before - len(self.versions()))))(len(self.versions())))
+    store, rows = shards.shard(parts, shared_dir(spark))
+    assert len([m for m in merges if m]) >= 2 and sum(expired) >= 1 and store.versions()[-1] > 12
+    assert len(store.shards()) < 12 and all(spark.read.parquet(f"{store.path}/{s.path}").count() for s in store.shards())
+    assert sorted(r.doc_id for r in rows.collect()) == sorted(r.doc_id for r in docs.collect())
+    odd = spark.createDataFrame([(None,), (1,), (1,), (None,)], "doc_id long")
+    assert sum(p.count() for p in shards.arrivals(odd, "doc_id", 5)) == 4 and len(shards.arrivals(odd.where("false"), "doc_id", 5)) == 1
