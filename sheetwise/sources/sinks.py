@@ -149,3 +149,9 @@ def deliver(spark: SparkSession, candidate: str, folder: str, stem: str, languag
     target = f"{folder.rstrip('/')}/{next_name(spark, folder, stem, language, mode, suffix)}"
     copy(spark, candidate, target)
     return target, digest(spark, target)
+
+
+def write_packet_tables(entries: DataFrame, occurrences: DataFrame, path: str) -> None:
+    """A packet of any size as JSON lines that executors write, in order: `entries` and `occurrences` below the path. No row passes the driver."""
+    for name, df, order in (("entries", entries, "first"), ("occurrences", occurrences, "number")):
+        df.repartitionByRange(order).sortWithinPartitions(order).write.option("ignoreNullFields", False).json(f"{path.rstrip('/')}/{name}")

@@ -118,6 +118,20 @@ def test_documents_keep_order_and_header(spark, tmp_path):
     assert json.loads((tmp_path / "none.json").read_text())["units"] == []
 
 
+def test_packet_tables_hold_what_the_packet_holds(spark, tmp_path):
+    """Entries and occurrences against the packet of one document; a text of most units makes small rows only."""
+    u = spark.createDataFrame([(i, f"unit-{i:06d}", "B", None, None if i == 7 else "same" if i % 3 else f"t{i % 5}", [0.0, float(i)], 1.0, None) for i in range(1, 61)], "number long, id string, block string, region string, source string, box array<double>, height double, review string").repartition(3)
+    whole = {r.id: (r.source, [tuple(o) for o in r.occurrences]) for r in units.packet(u).collect()}
+    entries, occurrences = units.packet_tables(u)
+    found = {}
+    for r in sorted(occurrences.collect(), key=lambda r: r.number):
+        found.setdefault(r.id, []).append((r.unitId, r.block, r.region, r.box, r.height, r.review))
+    assert {r.id: (r.source, found[r.id]) for r in entries.collect()} == whole and all(r.n == len(found[r.id]) for r in entries.collect())
+    sinks.write_packet_tables(entries, occurrences, f"{tmp_path}/packet")
+    lines = [json.loads(x) for p in sorted((tmp_path / "packet" / "occurrences").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x["number"] for x in lines] == list(range(1, 61)) and all(x["id"] in whole and len(json.dumps(x)) < 200 for x in lines)
+
+
 def test_final_rules(spark):
     task = {"job_id": "j", "sourceSha256": "s", "mode": "replace", "sourceLanguage": "a", "targetLanguage": "b"}
     receipt = {"job_id": "j", "schemaVersion": 1, "status": "written-awaiting-verification", "errors": [], "candidateSha256": "c"}
