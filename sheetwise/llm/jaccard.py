@@ -450,10 +450,11 @@ def similar(docs: DataFrame) -> DataFrame:
             parts = cut(components(_all(links), rounds=STARS))  # equal labels are linked sets, which is all that the next round needs
         if found <= first // 100:
             break
+    parts = cut(components(_all(links)))  # whole, as every pair that two labels of one group leave apart would meet below
     more = cut(_rest(lists, parts, known, _both_ways(_all(tried))))
-    links.append(cut(_check(more, bodies)))
-    parts = cut(components(_all(links)))
-    drop(bodies, lists, known, more, *tried, *links)
+    last = cut(_check(more, bodies))
+    parts = cut(components(_all([parts.select(F.col("component").alias("a"), F.col("node").alias("b")), last])))
+    drop(bodies, lists, known, more, last, *tried, *links)
     member = owned.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cid")).alias("cid"))
     each = member.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("docs"), F.min("doc_id").alias("least"))
     each = each.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
