@@ -357,15 +357,22 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _try(lists: DataFrame, parts: DataFrame | None, known: DataFrame, done: DataFrame | None, turn: int) -> DataFrame:
     """(a, b, n_a): for each set b a few pivots a of lists that it is in, each from another component.
 
-    A list's pivot is some member of the component that most of its members are in, so members outside it are few. The pairs
-    in `done` have been compared. known: (cid, n, map).
+    Before there are components, a list's pivot is the member with the longest lists: the middle of a group of near copies shares
+    most, and links also with members that do not link with each other. Later it is some member of the component that most of
+    the list's members are in, so members outside it are few. A list without two members of one component is not tried again:
+    no try has linked two of its members, as where they share a passage only, and _rest compares them. The pairs in `done` have
+    been compared. known: (cid, n, map).
     """
-    here = lists.select("shingle", "cid", "times") if parts is None else _open(lists, parts).select("shingle", "cid", "times", "comp")
-    comp = F.col("cid") if parts is None else F.col("comp")
-    here = here.withColumn("comp", comp)
-    pick = F.xxhash64("cid", F.lit(turn))
-    each = here.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.min_by("cid", pick).alias("a"))
-    pivot = each.groupBy("shingle").agg(F.max_by(F.struct("a", "comp"), F.struct("k", F.xxhash64("a", F.lit(turn)))).alias("p")).select(F.col("shingle").alias("_s"), "p.a", F.col("p.comp").alias("of"))
+    if parts is None:
+        held = lists.groupBy(F.col("cid").alias("_c")).agg(F.sum("members").alias("weight"))
+        here = lists.join(held, F.col("cid") == F.col("_c")).select("shingle", "cid", "times", F.col("cid").alias("comp"), "weight")
+    else:
+        here = _open(lists, parts).select("shingle", "cid", "times", "comp", F.lit(0).alias("weight"))
+    each = here.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("a"), F.max("weight").alias("weight"))
+    pivot = each.groupBy("shingle").agg(F.max_by(F.struct("a", "comp", "k"), F.struct("k", "weight", F.xxhash64("a", F.lit(turn)))).alias("p"))
+    if parts is not None:
+        pivot = pivot.where("p.k > 1")
+    pivot = pivot.select(F.col("shingle").alias("_s"), "p.a", F.col("p.comp").alias("of"))
     seen = here.join(pivot, F.col("shingle") == F.col("_s")).where("comp <> of").groupBy("a", F.col("cid").alias("b")).agg(F.sum("times").alias("times"))
     if done is not None:
         seen = seen.join(done, ["a", "b"], "left_anti")
@@ -418,7 +425,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row.
 
     Equal sets are one class. Each class is first compared with a few pivots of the lists that it is
-    in, in rounds as long as they find links, which joins groups of near copies; then, in lists whose members are not yet in
+    in, in rounds as long as they find links, which joins groups of near copies around their middles; then, in lists whose members are not yet in
     one component, all members of different components are compared, where it can be the first list that two linked sets
     share: nothing before it in the common order is shared, so enough must follow. A pair inside a component needs no
     comparison, so a group of near copies costs as many comparisons as it has members, and no link between

@@ -120,6 +120,31 @@ def test_a_common_passage_makes_few_pairs(spark, monkeypatch):
     assert made[500] <= 3 * 500 * jaccard.PIVOTS and made[2000] <= 3 * 2000 * jaccard.PIVOTS
 
 
+def test_near_copies_of_one_text_meet_in_its_middle(spark, monkeypatch):
+    """Copies that link with their origin but not with each other are compared in proportion to their number."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(10, 290), 0 if i == 120 else 5):
+            w[at] = f"x{rng.randrange(1 << 40)}"
+        rows.append((i, " ".join(w)))
+    pairs, real = [], jaccard._check
+    monkeypatch.setattr(jaccard, "_check", lambda p, t: (pairs.append(p.count()), real(p, t))[1])
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == 0 and r.n_shingles == 296 for r in got) and len(got) == 200
+    assert sum(pairs) <= 200 * jaccard.PIVOTS
+
+
+def test_lists_without_a_group_are_not_tried_again(spark):
+    lists = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 4, 1), (2, 5, 1), (2, 6, 1)], "shingle long, cid long, times long").selectExpr("*", "3L members", "0 rank")
+    known = spark.createDataFrame([(i, 10, [0]) for i in range(1, 7)], "cid long, n long, map array<long>")
+    parts = spark.createDataFrame([(4, 4), (5, 4)], "node long, component long")
+    got = jaccard._try(lists, parts, known, None, 1).collect()
+    assert [r.b for r in got] == [6] and got[0].a in (4, 5)
+
+
 def test_long_lists_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "ROUNDS", 1)
