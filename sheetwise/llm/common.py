@@ -179,12 +179,13 @@ def uniform(*parts: Column | str, seed: str = "") -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def sample_rows(rows: DataFrame, n: int, budget: int, seed: str, ids: DataFrame | None = None) -> list[dict]:
-    """A sample of whole rows for fitting, in the order of a draw by doc_id: n rows and `budget` bytes of text at most.
+def sample(rows: DataFrame, n: int, budget: int, seed: str, ids: DataFrame | None = None) -> DataFrame:
+    """A sample of whole rows for fitting, chosen in the order of a draw by doc_id: n rows and `budget` bytes of text at most.
 
-    rows has doc_id and text; with `ids`, a frame of one column, only rows with one of its n smallest draws count. Repeated rows
-    count once. Rows are taken in order as long as they fit, none in part, so only a text longer than the whole budget has no
-    chance. Sizes are compared before any text is fetched, and no text is shuffled but those taken.
+    rows has doc_id and text; the draw is added as _draw, the row's hash as _key. With `ids`, a frame of one column, only rows with
+    one of its n smallest draws count. Repeated rows count once. Rows are taken in order as long as they fit, none in part, so only
+    a text longer than the whole budget has no chance. Sizes are compared before any text is moved, and no text is shuffled but
+    those taken; none reaches the driver.
     """
     keyed = rows.withColumns({"_key": F.xxhash64("doc_id", "text"), "_draw": uniform("doc_id", seed=seed)})
     if ids is not None:
@@ -198,8 +199,17 @@ def sample_rows(rows: DataFrame, n: int, budget: int, seed: str, ids: DataFrame
             used += r["_bytes"]
             chosen.append((r["_key"],))
     wanted = rows.sparkSession.createDataFrame(chosen, "_key long")  # n keys
-    found = keyed.join(F.broadcast(wanted), "_key").groupBy("_key").agg(*(F.first(c).alias(c) for c in ("_draw", *rows.columns)))
-    return sorted(found.toArrow().to_pylist(), key=lambda r: (r["_draw"], r["_key"]))
+    return keyed.join(F.broadcast(wanted), "_key").groupBy("_key").agg(*(F.first(c).alias(c) for c in ("_draw", *rows.columns)))
+
+
+def in_order(found: pa.Table) -> list[dict]:
+    """The rows of a sample in the order of their draws."""
+    return sorted(found.to_pylist(), key=lambda r: (r["_draw"], r["_key"]))
+
+
+def sample_rows(rows: DataFrame, n: int, budget: int, seed: str, ids: DataFrame | None = None) -> list[dict]:
+    """A sample() as rows on the driver, in the order of their draws. Models are fitted in a task instead."""
+    return in_order(sample(rows, n, budget, seed, ids).toArrow())
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 2048) -> Iterator[pa.RecordBatch]:

@@ -361,13 +361,13 @@ def _try(lists: DataFrame, parts: DataFrame | None, known: DataFrame, done: Data
     most, and links also with members that do not link with each other. Later it is some member of the component that most of
     the list's members are in, so members outside it are few. A list without two members of one component is not tried again:
     no try has linked two of its members, as where they share a passage only, and _rest compares them. The pairs in `done` have
-    been compared. known: (cid, n, map).
+    been compared. known: (cid, n, map). Written step by step, as Spark plans all that is left anew after each stage.
     """
     if parts is None:
         held = lists.groupBy(F.col("cid").alias("_c")).agg(F.sum("members").alias("weight"))
         here = lists.join(held, F.col("cid") == F.col("_c")).select("shingle", "cid", "times", F.col("cid").alias("comp"), "weight")
     else:
-        here = _open(lists, parts).select("shingle", "cid", "times", "comp", F.lit(0).alias("weight"))
+        here = cut(_open(lists, parts).select("shingle", "cid", "times", "comp", F.lit(0).alias("weight")))  # read three times below
     each = here.groupBy("shingle", "comp").agg(F.count("*").alias("k"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("a"), F.max("weight").alias("weight"))
     pivot = each.groupBy("shingle").agg(F.max_by(F.struct("a", "comp", "k"), F.struct("k", "weight", F.xxhash64("a", F.lit(turn)))).alias("p"))
     if parts is not None:
@@ -377,9 +377,11 @@ def _try(lists: DataFrame, parts: DataFrame | None, known: DataFrame, done: Data
     if done is not None:
         seen = seen.join(done, ["a", "b"], "left_anti")
     best = Window.partitionBy("b").orderBy(F.desc("times"), "a")
-    some = seen.withColumn("r", F.row_number().over(best)).where(f"r <= {3 * PIVOTS}").drop("r")
-    some = _sized(some, known).where(F.expr(_may_link()))
-    return some.withColumn("r", F.row_number().over(best)).where(f"r <= {PIVOTS}").select("a", "b", "n_a")
+    some = cut(seen.withColumn("r", F.row_number().over(best)).where(f"r <= {3 * PIVOTS}").drop("r"))
+    sized = _sized(some, known).where(F.expr(_may_link()))
+    tried = cut(sized.withColumn("r", F.row_number().over(best)).where(f"r <= {PIVOTS}").select("a", "b", "n_a"))
+    drop(some, here)
+    return tried
 
 
 def _sized(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -403,10 +405,12 @@ def _rest(lists: DataFrame, parts: DataFrame, known: DataFrame, done: DataFrame)
     Sizes, ranks and parity bitmaps rule out, without loss, what cannot link, before a pair leaves the join. Long lists
     are dealt out: a member is in one block on one side and meets all blocks' members of the other.
     """
-    rows = _open(lists, parts).join(known.select("cid", "n"), "cid").withColumn("reach", F.expr(_REACH)).select("shingle", "cid", "comp", "n", "reach", "members")
+    opened = cut(_open(lists, parts))
+    rows = opened.join(known.select("cid", "n"), "cid").withColumn("reach", F.expr(_REACH)).select("shingle", "cid", "comp", "n", "reach", "members")
     span = rows.groupBy("shingle").agg(F.min("n").alias("least"), F.max("reach").alias("most")).withColumnRenamed("shingle", "_s")
     rows = rows.join(span, F.col("shingle") == F.col("_s")).where("reach >= least AND n <= most").drop("_s", "least", "most")
     rows = cut(rows.join(known.select("cid", "map"), "cid"))  # bitmaps come last, as they are the widest column
+    drop(opened)
     side = lambda x: [F.col(c).alias(f"{t}_{x}") for c, t in (("comp", "c"), ("n", "n"), ("reach", "r"), ("map", "m"))]
     fits = F.expr(f"c_a < c_b AND n_b <= r_a AND n_a <= r_b AND {_may_link()}")
     few, many = rows.where(f"members <= {BLOCK}"), rows.where(f"members > {BLOCK}").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
@@ -449,7 +453,7 @@ def similar(docs: DataFrame) -> DataFrame:
     links, tried, parts, first = [], [], None, 0
     for turn in range(ROUNDS):
         done = _both_ways(_all(tried)) if tried else None
-        tried.append(cut(_try(lists, parts, known, done, turn)))
+        tried.append(_try(lists, parts, known, done, turn))
         links.append(cut(_check(tried[-1], bodies)))
         found = links[-1].count()
         first = first or found

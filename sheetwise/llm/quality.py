@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, sample_rows, small_batches
+from .common import in_order, pieces, sample, small_batches
 
 #: Bounds of the sample of labelled rows that a model is fitted on, for each class: rows, and bytes of their whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 5000, 16 << 20
@@ -72,14 +74,26 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_DOCS, budget
     labels has doc_id and quality (0 or 1; null is ignored). The sample is bounded: per_class documents
     of each class and `budget` bytes, the smallest draws of a hash of doc_id, with their whole texts. Two thirds make the dictionaries; the others,
     which no dictionary has seen, fit the logistic curve on whole texts as they are scored, weighted to the classes' true shares.
+    One task learns from the sample, so that no text reaches the driver; the model is all that does.
     Without both classes the score is 1 for everything, so that nothing is rejected unlearned.
     """
     totals = {int(r["quality"]): int(r["count"]) for r in labels.where("quality IN (0, 1)").groupBy("quality").count().collect()}
+    of = lambda q: sample(docs.select("doc_id", "text"), per_class, budget, "quality", labels.where(F.col("quality") == q).select("doc_id"))
+    both = reduce(DataFrame.union, [of(q).select(F.lit(q).alias("class"), "_draw", "_key", "text") for q in (0, 1)])
+
+    def learn(found: pa.Table) -> pa.Table:
+        model = _learn({q: [(r["text"] or "").encode() for r in in_order(found.filter(pc.equal(found.column("class"), q)))] for q in (0, 1)}, totals)
+        return pa.table({"good": pa.array([model.good], pa.binary()), "bad": pa.array([model.bad], pa.binary()), "slope": [model.slope], "bias": [model.bias]})
+
+    row = both.groupBy().applyInArrow(learn, "good binary, bad binary, slope double, bias double").first()
+    return Model(bytes(row["good"]), bytes(row["bad"]), row["slope"], row["bias"]) if row else _learn({0: [], 1: []}, totals)
+
+
+def _learn(sampled: dict[int, list[bytes]], totals: dict[int, int]) -> Model:
+    """The model of the sampled texts of each class."""
     split: dict[int, list[bytes]] = {}
     rest: list[tuple[int, bytes]] = []
-    for q in (0, 1):
-        rows = sample_rows(docs.select("doc_id", "text"), per_class, budget, "quality", labels.where(F.col("quality") == q).select("doc_id"))
-        texts = [(r["text"] or "").encode() for r in rows]
+    for q, texts in sampled.items():
         split[q] = [t for i, t in enumerate(texts) if i % 3 != 2]
         rest += [(q, t) for i, t in enumerate(texts) if i % 3 == 2]
     if not split[0] or not split[1] or len({q for q, _ in rest}) < 2:

@@ -75,3 +75,16 @@ def test_edges(spark):
     got = quality.classify(both, marks).collect()
     assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.8
     assert quality.classify(docs.where("false"), labels).collect() == []
+
+
+def test_models_are_fitted_away_from_the_driver(spark, sf, monkeypatch):
+    """No frame with texts is collected: both fits learn from their samples in a task."""
+    from sheetwise.llm import pii
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    for name in ("collect", "toArrow"):
+        monkeypatch.setattr(type(docs), name, lambda self, f=getattr(type(docs), name): seen.append(self.columns) or f(self))
+    model, field = quality.fit(docs, labels.where(~quality.held_out()), 50), pii.fit(docs, 50)
+    assert model.slope > 0 and field.unary.shape == (pii.FEATURES, len(pii.LABELS))
+    assert seen and not any("text" in columns for columns in seen)
