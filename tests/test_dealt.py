@@ -48,3 +48,8 @@ def test_dealt_tables_meet_without_a_shuffle(spark):
         both = key(a, 1).join(key(b, 2), ["job_id", "k"], "left").groupBy("job_id", "k").agg(F.count("n2").alias("n"))
         assert shuffles(both) == 0
     assert both.agg(F.sum("n"), F.count("*")).collect() == [(2 * b.count(), 100)]
+
+
+def test_records_are_made_and_delivered_in_place(spark, written):
+    assert records.delivery_rules(spark, SF).count() > 0
+    assert max(n for frames in written for n in frames) == 0
