@@ -53,3 +53,8 @@ def test_dealt_tables_meet_without_a_shuffle(spark):
 def test_records_are_made_and_delivered_in_place(spark, written):
     assert records.delivery_rules(spark, SF).count() > 0
     assert max(n for frames in written for n in frames) == 0
+
+
+def test_mapping_rules_meet_in_place(spark, written):
+    assert records.mapping_rules(spark, SF).count() > 0
+    assert sum(n == 0 for n in written[-1]) >= 20, written[-1]
